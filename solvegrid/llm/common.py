@@ -8,8 +8,11 @@ run of bytes other than 0x20 and 0x09-0x0D, which is ``[^\\x20\\x09-\\x0D]+``.
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -197,5 +200,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each context, should their path lack it."""
+    context = spark.sparkContext
+    if getattr(context, "_solvegrid_shipped", False):
+        return
+    root = Path(__file__).parents[1]
+    to = Path(tempfile.mkdtemp()) / "solvegrid.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(to))
+    context._solvegrid_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -175,23 +175,32 @@ def _logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: in
     return w.astype(np.float32), float(b)
 
 
-def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through (z, y), by damped Newton steps."""
-    a, b = 1.0, 0.0
-    total = weight.sum()
-    pos = (weight * y).sum()
-    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (total - pos + 2))
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        r, s = weight * (p - target), weight * p * (1 - p) + 1e-9
-        grad = np.array([(r * z).sum() + 1e-3 * (a - 1), r.sum()])
-        hess = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum()]])
-        step = np.linalg.solve(hess + 1e-6 * np.eye(2), grad)
-        step *= min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, most: float = 12.0) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through (z, y); z counts as at most ``most`` from 0.
+
+    Newton steps on the weighted log loss, halved until they lower it; a small pull keeps the
+    curve finite where the classes don't overlap.
+    """
+    z = np.clip(z, -most, most)
+    x = np.array([1.0, 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        t = v[0] * z + v[1]
+        return float((weight * (np.logaddexp(0, t) - y * t)).sum() + 0.05 * (v @ v))
+
+    now = loss(x)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x[0] * z + x[1], -30, 30)))
+        r, s = weight * (p - y), weight * p * (1 - p)
+        grad = np.array([(r * z).sum(), r.sum()]) + 0.1 * x
+        hess = np.array([[(s * z * z).sum(), (s * z).sum()], [(s * z).sum(), s.sum()]]) + 0.1 * np.eye(2)
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and (new := loss(x - size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - new < 1e-9:
             break
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+        x, now = x - size * step, new
+    return (float(x[0]), float(x[1])) if x[0] > 0 else (1.0, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = SAMPLE_PER_CLASS, bits: int = BITS, steps: int = 150, id_col: str = "doc_id", text_col: str = "text") -> Model | None:

@@ -35,7 +35,7 @@ PER_CLASS = {0: 12000, 1: 4000}
 TABLE = 1 << 16
 STEM = 5
 COST = 0.25
-INTERVAL = 1.64
+INTERVAL = 2.6
 PREDICT_AT = 0.3
 
 #: Tokens are runs of ASCII letters and digits and of all bytes beyond ASCII.
@@ -88,6 +88,13 @@ class Model:
         t, h, stem = _tokens(chunk)
         scores = self.token_scores(h, stem)
         hits = np.flatnonzero(scores > 0)
+        # the n-th time that a text has a token it counts an n-th
+        doc = np.searchsorted(t.first, hits, side="right") - 1
+        order = np.lexsort((h[hits], doc))
+        new = np.ones(len(hits), dtype=bool)
+        new[1:] = (h[hits[order[1:]]] != h[hits[order[:-1]]]) | (doc[order[1:]] != doc[order[:-1]])
+        begin = np.flatnonzero(new)
+        scores[hits[order]] /= 1 + np.arange(len(hits)) - np.repeat(begin, np.diff(np.append(begin, len(hits))))
         bounds = np.searchsorted(hits, t.first)
         out = []
         for d in range(chunk.n):
@@ -162,7 +169,7 @@ def _table(rows: DataFrame, kind: int, n_toxic: int, n_clean: int, prior: float,
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(n_toxic + n_clean))
     a, b = F.col("toxic") + F.lit(prior) * (share + 0.01), F.col("clean") + F.lit(prior) * (share + 0.01)
     odds = F.log(a / (F.lit(n_toxic + 1.01 * prior) - a)) - F.log(b / (F.lit(n_clean + 1.01 * prior) - b))
-    scored = rows.where((F.col("kind") == kind) & (F.col("toxic") >= 2)).select("h", (odds - F.lit(INTERVAL) * F.sqrt(1 / a + 1 / b)).alias("s")).where("s > 0.2")
+    scored = rows.where((F.col("kind") == kind) & (F.col("toxic") >= 2)).select("h", (odds - F.lit(INTERVAL) * F.sqrt(1 / a + 1 / b)).alias("s")).where("s > 0.5")
     got = scored.orderBy(F.desc("s"), "h").limit(most).toArrow()
     return Table(np.asarray(got["h"]).view(np.uint64), np.asarray(got["s"], dtype=np.float64))
 
@@ -215,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: dict[int, int] | None
     share = {r["toxic"]: r["n"] for r in own.groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if not share.get(0) or not share.get(1):
         return None
-    rows = C.settle(sample(docs, labels, "toxic", per_class or PER_CLASS, id_col, text_col))
+    # copies of one text would make its chance words look like evidence
+    rows = C.settle(sample(docs, labels, "toxic", per_class or PER_CLASS, id_col, text_col).dropDuplicates(["text", "label"]))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
