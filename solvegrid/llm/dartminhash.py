@@ -221,12 +221,13 @@ def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: st
     """doc_id, class_id: the smallest id of the class of near copies of each row's text."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
     sketch = C.settle(own.mapInArrow(lambda it: _sketch(it, bands, rows), "id long, a long, b long, m long, bands array<long>, sig binary"))
-    same = sketch.groupBy("a", "b", "m").agg(F.min("id").alias("rep"))
+    # written, as hubs are, so that the join deals both sides itself and can split a hot key
+    same = C.settle(sketch.groupBy("a", "b", "m").agg(F.min("id").alias("rep")))
     member = C.settle(sketch.select("id", "a", "b", "m").join(same, ["a", "b", "m"]).select("id", "rep").distinct())
     reps = member.where("id = rep").select("id")
     first = sketch.join(reps, "id", "left_semi").where("m > 0").dropDuplicates(["id"])
     buckets = first.select("id", "m", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = C.settle(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = C.settle(buckets.join(hubs, "key").select("key", "id", "m", "hub", "n"))
     involved = met.select("id").distinct()
     lists = C.settle(own.join(involved, "id", "left_semi").mapInArrow(_unit_lists, "id long, units array<long>").dropDuplicates(["id"]))
@@ -235,7 +236,9 @@ def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: st
     links = C.settle(_checked(star, lists))
     label = components(links)
     rest = met.where("n > 2 and id <> hub").join(label, "id", "left").select("key", "id", "m", F.coalesce("least", "id").alias("label"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rest = C.settle(rest)
+    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    mixed = C.settle(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
     tiled = rest.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.join(first.select("id", "sig"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "m", "own", "sig")

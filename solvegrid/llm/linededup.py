@@ -81,10 +81,11 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col:
     span = gram + window - 1
     keys = [f"k{j}" for j in range(span)]
     rows = windows(docs, gram=gram, window=window, id_col=id_col, text_col=text_col)
-    again = rows.where("fresh").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    # written, so that the joins deal both sides themselves and can split a very common line
+    again = C.settle(rows.where("fresh").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"))
     found = C.settle(rows.join(again, "fingerprint", "left_semi").drop("fingerprint", "fresh"))
     lead = found.groupBy(*keys).agg(F.min(F.struct("id", "i0")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.col("lead.id").alias("lead_id"), F.col("lead.i0").alias("lead_i"))
-    later = found.join(lead, keys).where(F.struct("id", "i0") > F.struct("lead_id", "lead_i"))
+    later = found.join(C.settle(lead), keys).where(F.struct("id", "i0") > F.struct("lead_id", "lead_i"))
     gone = later.select("id", "tag", F.explode(F.array(*[f"i{j}" for j in range(span)])).alias("i")).distinct()
     order = Window.partitionBy("id", "tag").orderBy("i")
     # lines of one run have the same difference between their number and their rank

@@ -125,7 +125,8 @@ def repeats(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, id_col: str
     place, tag = _key(id_col, text_col)
     own = docs.select(place.alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
     entries = own.mapInArrow(lambda it: _index(it, span, gram), "block long, factor long, id long, place long")
-    again = entries.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
+    # written, so that the join deals both sides itself and can split a very common block
+    again = C.settle(entries.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"))
     entries = C.settle(entries.join(again, "block", "left_semi"))
     at = F.shiftright("place", 24)
     keys = C.settle(entries.groupBy("block", "factor").agg(F.min(F.struct("id", at.alias("at"), "place")).alias("lead"), F.count(F.lit(1)).alias("n")))
@@ -134,11 +135,12 @@ def repeats(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, id_col: str
     whole = entries.withColumn("at", at).join(several, ["block", "factor"]).where(later)
     whole = whole.select("id", F.col("place").bitwiseAND(255).alias("tag"), (F.col("at") - F.shiftright("place", 16).bitwiseAND(255)).alias("a"), (F.col("at") - F.shiftright("place", 8).bitwiseAND(255)).alias("b"))
     whole = C.settle(whole)
-    open_blocks = keys.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
+    open_blocks = C.settle(keys.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"))
     leads = keys.join(open_blocks, "block", "left_semi").select("lead.id", "lead.place")
     listed = leads.groupBy("id", F.col("place").bitwiseAND(255).alias("tag")).agg(F.collect_list("place").alias("places"))
     windows = C.settle(own.join(listed, ["id", "tag"]).select("id", "tag", "text", "places").mapInArrow(lambda it: _edges(it, span), "w1 long, w2 long, id long, at long, tag long"))
-    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "at")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", F.col("lead.id").alias("lead_id"), F.col("lead.at").alias("lead_at"))
+    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "at")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = C.settle(firsts.select("w1", "w2", F.col("lead.id").alias("lead_id"), F.col("lead.at").alias("lead_at")))
     edge = windows.join(firsts, ["w1", "w2"]).where(later).select("id", "tag", F.col("at").alias("a"), F.col("at").alias("b"))
     return C.settle(whole.unionByName(edge).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
