@@ -16,8 +16,10 @@ Classes:
 2. Signatures are cut into bands. In each bucket of a band every member is linked to the
    smallest id in it; these links, as many as members, are checked exactly on the shingles.
 3. Where members of a bucket are still in different classes, they are compared within the
-   bucket, block against block, by their signatures, so that no chain is lost; what agrees in
-   ``AGREE`` of the coordinates is checked exactly. Members of one class aren't compared.
+   bucket, block against block, by longer signatures, so that no chain is lost; what agrees in
+   ``AGREE`` of the coordinates is checked exactly. Members of one class aren't compared. This is
+   done twice: at first for the best pairs that would join the classes of a block (a spanning
+   forest, so no more pairs than members), then for all pairs that are still between classes.
 4. The classes are the connected components of all checked links.
 
 A pair at similarity 0.8 meets in no bucket with probability 3e-6, at 0.9 below 1e-11.
@@ -43,8 +45,9 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 #: In fifths: similarity is at least 4 of 5.
 NUM, DEN = 4, 5
-#: Share of coordinates that a pair of similarity 0.8 falls below with probability 2e-5.
-AGREE = 0.62
+#: Coordinates of the longer signatures, a byte each, and the share of them that a pair of
+#: similarity 0.8 falls below with probability 3e-5; the same for the first of them.
+LONG, AGREE, FEW, AGREE_FEW = 512, 0.73, 64, 0.55
 TILE = 512
 _U = np.uint64
 _G1, _G2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -127,7 +130,6 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             sig = signatures(unit, first, bands * rows)
             keys = band_keys(sig, bands, rows).view(np.int64)
             offsets = pa.array(np.arange(0, (chunk.n + 1) * bands, bands, dtype=np.int32))
-            short = (sig >> _U(40)).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(lo, chunk.n),
@@ -135,9 +137,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
                     pa.array(C.segment_sum(C.mix64(unit ^ _G2), first).view(np.int64)),
                     pa.array(np.diff(first)),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
-                    pa.array([s.tobytes() for s in short], pa.binary()),
                 ],
-                ["id", "a", "b", "m", "bands", "sig"],
+                ["id", "a", "b", "m", "bands"],
             )
 
 
@@ -145,7 +146,8 @@ def _unit_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, chunk in C.chunks(batch.column("text")):
             unit, first = units(chunk)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, chunk.n), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(unit.view(np.int64)))], ["id", "units"])
+            sig = (signatures(C.mix64(unit + _G2), first, LONG) >> _U(50)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, chunk.n), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(unit.view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "units", "sig"])
 
 
 def _checked(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -178,31 +180,57 @@ def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("least"))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], k: int, agree: float) -> Iterator[pa.RecordBatch]:
+def _forest(x: np.ndarray, y: np.ndarray, label: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Of pairs of members, those that join labels when taken by falling share."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.get(v, v) != v:
+            parent[v] = parent.get(parent[v], parent[v])
+            v = parent[v]
+        return v
+
+    taken = []
+    for i in np.lexsort((y, x, -share)).tolist():
+        a, b = root(int(label[x[i]])), root(int(label[y[i]]))
+        if a != b:
+            parent[a] = b
+            taken.append(i)
+    return np.array(taken, dtype=np.int64)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j), of the members of blocks i and j of a bucket, to pairs that agree and differ in class."""
-    least = math.ceil(agree * k)
     held: list[tuple] = []
     now = None
 
     def pairs() -> pa.RecordBatch | None:
         _, i, j = now
-        ids = np.array([r[0] for r in held], dtype=np.int64)
-        label = np.array([r[1] for r in held], dtype=np.int64)
-        m = np.array([r[2] for r in held], dtype=np.int64)
-        own = np.array([r[3] for r in held])
-        sig = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(len(held), k)
+        ids, label, m, own = (np.array([r[c] for r in held], dtype=np.int64) for c in range(4))
+        sig = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), LONG)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
+        few = np.ascontiguousarray(sig[:, :FEW])
+        out, shares = [], []
         for lo in range(0, len(left), 64):
             a = left[lo : lo + 64]
-            hit = (sig[a][:, None, :] == sig[right][None, :, :]).sum(axis=2) >= least
-            hit &= label[a][:, None] != label[right][None, :]
-            p, q = np.nonzero(hit)
-            out.append((a[p], right[q]))
-        p, q = (np.concatenate([o[s] for o in out]) if out else np.zeros(0, np.int64) for s in (0, 1))
-        up = ids[p] < ids[q] if i == j else ids[p] != ids[q]
-        p, q = p[up], q[up]
+            near = (few[a][:, None, :] == few[right][None, :, :]).sum(axis=2) >= AGREE_FEW * FEW
+            near &= label[a][:, None] != label[right][None, :]
+            near &= ids[a][:, None] < ids[right][None, :] if i == j else True
+            p, q = np.nonzero(near)
+            p, q = a[p], right[q]
+            for at in range(0, len(p), 4096):
+                x, y = p[at : at + 4096], q[at : at + 4096]
+                share = (sig[x] == sig[y]).sum(axis=1)
+                hit = share >= AGREE * LONG
+                out.append((x[hit], y[hit]))
+                shares.append(share[hit])
+        if not out:
+            return None
+        p, q, share = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.concatenate(shares)
         p, q = np.where(ids[p] < ids[q], p, q), np.where(ids[p] < ids[q], q, p)
+        if forest:
+            take = _forest(p, q, label, share)
+            p, q = p[take], q[take]
         return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(m[p]), pa.array(m[q])], ["x", "y", "mx", "my"]) if len(p) else None
 
     for batch in batches:
@@ -217,10 +245,22 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, agree: float) -> Iterato
         yield found
 
 
+def _across(met: DataFrame, label: DataFrame, lists: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (x, y, mx, my) of members of one bucket in different classes whose long signatures agree."""
+    rest = C.settle(met.where("n > 2 and id <> hub").join(label, "id", "left").select("key", "id", "m", F.coalesce("least", "id").alias("label")))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    mixed = C.settle(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    tiled = rest.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.join(lists.select("id", "sig"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "m", "own", "sig")
+    tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return tiled.mapInArrow(lambda it: _compare(it, forest), "x long, y long, mx long, my long").distinct()
+
+
 def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id: the smallest id of the class of near copies of each row's text."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
-    sketch = C.settle(own.mapInArrow(lambda it: _sketch(it, bands, rows), "id long, a long, b long, m long, bands array<long>, sig binary"))
+    sketch = C.settle(own.mapInArrow(lambda it: _sketch(it, bands, rows), "id long, a long, b long, m long, bands array<long>"))
     # written, as hubs are, so that the join deals both sides itself and can split a hot key
     same = C.settle(sketch.groupBy("a", "b", "m").agg(F.min("id").alias("rep")))
     member = C.settle(sketch.select("id", "a", "b", "m").join(same, ["a", "b", "m"]).select("id", "rep").distinct())
@@ -230,24 +270,16 @@ def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: st
     hubs = C.settle(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = C.settle(buckets.join(hubs, "key").select("key", "id", "m", "hub", "n"))
     involved = met.select("id").distinct()
-    lists = C.settle(own.join(involved, "id", "left_semi").mapInArrow(_unit_lists, "id long, units array<long>").dropDuplicates(["id"]))
+    lists = C.settle(own.join(involved, "id", "left_semi").mapInArrow(_unit_lists, "id long, units array<long>, sig binary").dropDuplicates(["id"]))
     weights = met.where("id = hub").select(F.col("id").alias("x"), F.col("m").alias("mx")).distinct()
     star = met.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y"), F.col("m").alias("my")).distinct().join(weights, "x")
     links = C.settle(_checked(star, lists))
     label = components(links)
-    rest = met.where("n > 2 and id <> hub").join(label, "id", "left").select("key", "id", "m", F.coalesce("least", "id").alias("label"))
-    rest = C.settle(rest)
-    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    mixed = C.settle(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    tiled = rest.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.join(first.select("id", "sig"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "m", "own", "sig")
-    tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    close = tiled.mapInArrow(lambda it: _compare(it, bands * rows, AGREE), "x long, y long, mx long, my long").distinct()
-    more = C.settle(_checked(close, lists))
-    if not more.isEmpty():
-        # the classes so far count as links
-        label = components(more.unionByName(label.select(F.col("least").alias("x"), F.col("id").alias("y"))))
+    for forest in (True, False):
+        more = C.settle(_checked(_across(met, label, lists, forest), lists))
+        if not more.isEmpty():
+            # the classes so far count as links
+            label = components(more.unionByName(label.select(F.col("least").alias("x"), F.col("id").alias("y"))))
     out = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("least", "rep").alias("class"))
     # several rows of one id may have several texts: their classes are one
     out = out.groupBy("id").agg(F.min("class").alias("class_id"))
