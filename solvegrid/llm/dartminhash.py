@@ -48,7 +48,7 @@ NUM, DEN = 4, 5
 #: Coordinates of the longer signatures, a byte each, and the share of them that a pair of
 #: similarity 0.8 falls below with probability 3e-5; the same for the first of them.
 LONG, AGREE, FEW, AGREE_FEW = 512, 0.73, 64, 0.55
-TILE = 512
+TILE = 2048
 _U = np.uint64
 _G1, _G2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
