@@ -98,7 +98,8 @@ def _cut(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataF
     place, tag = _key(id_col, text_col)
     own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], place.alias("__id"), tag.alias("__tag"))
     text = F.col(f"c{docs.columns.index(text_col)}")
-    joined = own.join(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("ranges").alias("__ranges")), ["__id", "__tag"], "left")
+    # the same join at every size: the ranges grow as the texts do
+    joined = own.join(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("ranges").alias("__ranges")).hint("merge"), ["__id", "__tag"], "left")
     joined = joined.withColumn("__lines", F.when(F.col("__ranges").isNotNull(), F.split(text, "\n", -1)))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__ranges", lambda r: r["b"] + 1))
     ends = F.concat(F.transform("__ranges", lambda r: r["a"]), F.array(F.size("__lines").cast("long")))
