@@ -53,8 +53,9 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = left / open_weight
     leveled = weighed.withColumn("level", level).withColumn("full", F.lit(most) * F.col("source_size") <= F.col("level") * F.col("weight"))
-    # the level that holds is that of the first source that doesn't fill up
-    leveled = leveled.withColumn("holds", F.min(F.when(~F.col("full"), F.col("level"))).over(everything))
+    # the level that holds is that of the first source, in this order, that doesn't fill up
+    leveled = leveled.withColumn("nth", F.row_number().over(by_fill))
+    leveled = leveled.withColumn("holds", F.min(F.when(~F.col("full"), F.struct("nth", "level"))).over(everything)["level"])
     capped = (F.lit(most) * F.col("source_size")).cast("double")
     return leveled.select("source", "source_size", "weight", F.least(capped, F.coalesce(F.col("holds") * F.col("weight"), capped)).alias("target"))
 
@@ -140,7 +141,8 @@ weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
 leveled AS (
   SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
   FROM weighed WINDOW b AS (ORDER BY source_size::DOUBLE / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-held AS (SELECT *, min(CASE WHEN NOT (3 * source_size <= level * weight) THEN level END) OVER () AS holds FROM leveled),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / weight::DOUBLE, source NULLS LAST) AS nth FROM leveled),
+held AS (SELECT *, (SELECT level FROM numbered WHERE NOT (3 * source_size <= level * weight) ORDER BY nth LIMIT 1) AS holds FROM numbered),
 goal AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(holds * weight, (3 * source_size)::DOUBLE)) AS target FROM held),
 goal2 AS (
   SELECT *, floor((sum(target) OVER () + 8) / 16)::BIGINT AS blocks, greatest(1, floor(sqrt(source_size::DOUBLE / 16))::BIGINT) AS shards,
