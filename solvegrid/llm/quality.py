@@ -155,18 +155,28 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
 
 
 def _logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, steps: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the weighted log loss, both classes with equal weight."""
-    cols = np.concatenate([r[0] for r in rows])
-    vals = np.concatenate([r[1] for r in rows]).astype(np.float32)
-    first = np.zeros(len(rows) + 1, dtype=np.int64)
-    np.cumsum([len(r[0]) for r in rows], out=first[1:])
-    row = np.repeat(np.arange(len(rows)), np.diff(first))
+    """Full-batch Adam on the weighted log loss, both classes with equal weight.
+
+    Rows are gone through in blocks, so that the driver needs little more than the rows.
+    """
+    blocks = []
+    for lo in range(0, len(rows), 128):
+        part = rows[lo : lo + 128]
+        first = np.zeros(len(part) + 1, dtype=np.int64)
+        np.cumsum([len(r[0]) for r in part], out=first[1:])
+        blocks.append((lo, part, first))
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, b, m, v = np.zeros(dims), 0.0, np.zeros(dims + 1), np.zeros(dims + 1)
     for t in range(1, steps + 1):
-        z = C.segment_sum(vals * w[cols], first) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grad = np.append(np.bincount(cols, weights=vals * g[row], minlength=dims) + penalty * w, g.sum())
+        grad = np.append(penalty * w, 0.0)
+        for lo, part, first in blocks:
+            cols = np.concatenate([r[0] for r in part])
+            vals = np.concatenate([r[1] for r in part])
+            z = C.segment_sum(vals * w[cols], first) + b
+            own = slice(lo, lo + len(part))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) * weight[own]
+            grad[:-1] += np.bincount(cols, weights=vals * np.repeat(g, np.diff(first)), minlength=dims)
+            grad[-1] += g.sum()
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -210,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = SAMPLE_PE
     y, part = np.asarray(got["label"]), np.asarray(got["part"])
     if len(set(y.tolist())) < 2:
         return None
-    sparse = [(np.frombuffer(a.as_py(), "<i4"), np.frombuffer(b.as_py(), "<f4")) for a, b in zip(got["ids"], got["values"], strict=True)]
+    # views of the Arrow buffers, no copies
+    sparse = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(b.as_buffer(), "<f4")) for a, b in zip(got["ids"], got["values"], strict=True)]
     # rows arrive in no set order; sums of floats shall not depend on it
     order = sorted(range(len(y)), key=lambda i: (y[i], len(sparse[i][0]), sparse[i][0].tobytes(), sparse[i][1].tobytes()))
     y, part, sparse = y[order], part[order], [sparse[i] for i in order]
