@@ -5,7 +5,7 @@ it makes with its right neighbour; inner nodes hold the minimum, so the root yie
 lowest rank and the descent that prefers the left child yields the leftmost of it. A
 merge changes three leaves, each in logarithmic time, until the root says that no pair is
 mergeable. A word of up to ``NODE`` symbols is one node of many leaves, whose minimum and
-leftmost place are found in its list; longer words have a binary tree above their leaves. What lies between white space is memoised, since texts repeat them; the memo is emptied at a bound.
+leftmost place are found in its list; longer words have a binary tree above their leaves. Words are memoised, since texts repeat them; the memo is emptied at a bound.
 
 The vocabulary file decides the rest: NFC, white space to one blank, lower case, the
 splitting pattern, byte letters and the end-of-word mark. Added tokens are cut out of the
@@ -28,10 +28,6 @@ from pyspark.sql import functions as F
 MEMO = 1 << 20
 #: Leaves of a node of the segment tree that keeps them in one list.
 NODE = 32
-#: White space as Unicode's property has it.
-_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
-#: What Python splits at and Unicode doesn't count as white space.
-_CONTROLS = regex.compile("[\x1c-\x1f]")
 _NONE = 1 << 60
 
 
@@ -154,7 +150,7 @@ class Codec:
         self.memo = _Memo(self)
 
     def normalise(self, text: str) -> str:
-        """NFC and lower case; white space is left to `pieces`, as the split drops it."""
+        """NFC and lower case. White space stays as it is: whatever its kind, the split drops it."""
         if not text.isascii() and "NFC" in self.normalizers:
             text = unicodedata.normalize("NFC", text)
         if "Lowercase" in self.normalizers:
@@ -162,29 +158,21 @@ class Codec:
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         return text
 
-    def pieces(self, text: str) -> list[str]:
-        """The runs between white space; the pattern's matches lie within them."""
-        return [x for x in _SPACE.split(text) if x] if _CONTROLS.search(text) else text.split()
-
     def encode_word(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8")
         symbols = [self.inner[b] for b in data]
         symbols[-1] = self.last[data[-1]]
         return tuple(merge_word(symbols, self.pairs))
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        words = self.words(piece)
-        return self.encode_word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.encode_word, words)))
-
     def encode(self, text: str) -> list[int]:
         if self.cut is None or "<" not in text:
-            return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces(self.normalise(text)))))
+            return list(chain.from_iterable(map(self.memo.__getitem__, self.words(self.normalise(text)))))
         out: list[int] = []
         for part in self.cut.split(text):
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out.extend(chain.from_iterable(map(self.memo.__getitem__, self.pieces(self.normalise(part)))))
+                out.extend(chain.from_iterable(map(self.memo.__getitem__, self.words(self.normalise(part)))))
         return out
 
     def decode(self, ids) -> str:
@@ -197,12 +185,12 @@ class _Memo(dict):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMO:
             self.clear()
-        ids = self.codec.encode_piece(piece)
-        if len(piece) <= 64:
-            self[piece] = ids
+        ids = self.codec.encode_word(word)
+        if len(word) <= 64:
+            self[word] = ids
         return ids
 
 
