@@ -1,6 +1,6 @@
 """Token-id output: best-fit-decreasing packing into rows of a fixed length.
 
-Texts are encoded and packed where they are read, so nothing is shuffled. A task takes its
+Texts are encoded with a public byte-level vocabulary and packed where they are read, so nothing is shuffled. A task takes its
 documents in order until they have ``shard_tokens`` tokens, and packs them as one shard, so
 memory is bounded. A document longer than a row is cut into whole rows, and its rest is packed
 as a segment like any other, so no token is lost. Segments go by decreasing length (then by
@@ -17,19 +17,31 @@ ids may be null; other columns play no part.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec
+_ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 LENGTH = 2048
 SHARD_TOKENS = 1 << 20
-PAD = 0
+#: Free in the vocabulary that the query uses.
+PAD = 50256
+
+
+def encoder(path: str, pattern: str) -> tiktoken.Encoding:
+    """One for each worker process and file of ranks."""
+    if path not in _ENCODERS:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]
 
 
 class Capacities:
@@ -106,14 +118,14 @@ def _rows(docs: list[tuple[int | None, np.ndarray]], shard: str, length: int) ->
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
 
 
-def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, length: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    own, context = codec(path), TaskContext.get()
+def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, length: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+    own, context = encoder(path, pattern), TaskContext.get()
     part = context.partitionId() if context else 0
     held: list[tuple[int | None, np.ndarray]] = []
     tokens = shards = 0
     for batch in batches:
         for doc, text in zip(batch.column("id"), batch.column("text"), strict=True):
-            ids = np.asarray(own.encode(text.as_py() or ""), dtype="<i4")
+            ids = own.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<i4")
             if not len(ids):
                 continue
             held.append((doc.as_py(), ids))
@@ -125,10 +137,10 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, length: int, sha
         yield _rows(held, f"{part:05d}-{shards:04d}", length)
 
 
-def packed(docs: DataFrame, path: str, *, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str, pattern: str, *, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The packed rows, see the module; (shard, row) tells them apart."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(lambda it: _pack_batches(it, path, length, shard_tokens), _SCHEMA)
+    return slim.mapInArrow(lambda it: _pack_batches(it, path, pattern, length, shard_tokens), _SCHEMA)
 
 
 def write(rows: DataFrame, to: str) -> None:

@@ -10,7 +10,7 @@ from . import bpe, chat, dartminhash, linededup, mixing, packing, quality, subst
 from .common import read
 
 #: A parameter: the vocabulary file's path on driver and executors.
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def _vocabulary() -> str:
@@ -35,7 +35,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.packed(read(spark, sf_dir, "documents"), _vocabulary())
+    rows = packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return rows.select("shard", "row", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 
