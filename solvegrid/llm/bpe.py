@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 1 << 20
+MEMO = 1 << 19
 #: Leaves of a node of the segment tree that keeps them in one list.
 NODE = 32
 _NONE = 1 << 60
@@ -221,7 +221,7 @@ def decoder(path: str):
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([own.decode(x.as_py() or []) for x in ids], pa.string())
+        return pa.array([own.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in ids], pa.string())
 
     return decode
 

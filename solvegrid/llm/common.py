@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are worked on at once; a longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -216,4 +218,8 @@ def ship(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    # texts are long: fewer rows a batch bound what a worker holds at once
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
