@@ -208,6 +208,7 @@ def _compare(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
         _, i, j = now
         ids, label, m, own = (np.array([r[c] for r in held], dtype=np.int64) for c in range(4))
         sig = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), LONG)
+        bands = np.array([r[5] for r in held], dtype=np.int64)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         few = np.ascontiguousarray(sig[:, :FEW])
         out, shares = [], []
@@ -231,10 +232,15 @@ def _compare(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
         if forest:
             take = _forest(p, q, label, share)
             p, q = p[take], q[take]
+        else:
+            # a pair that shares several buckets is given in the first of them only
+            same = bands[p] == bands[q]
+            here = bands[p, same.argmax(axis=1)] == now[0] if len(p) else np.zeros(0, dtype=bool)
+            p, q = p[here], q[here]
         return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(m[p]), pa.array(m[q])], ["x", "y", "mx", "my"]) if len(p) else None
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "label", "m", "own", "sig")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "label", "m", "own", "sig", "bands")], strict=True):
             if held and row[:3] != now:
                 if found := pairs():
                     yield found
@@ -245,14 +251,16 @@ def _compare(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
         yield found
 
 
-def _across(met: DataFrame, label: DataFrame, lists: DataFrame, forest: bool) -> DataFrame:
+def _across(met: DataFrame, label: DataFrame, lists: DataFrame, first: DataFrame, forest: bool) -> DataFrame:
     """Pairs (x, y, mx, my) of members of one bucket in different classes whose long signatures agree."""
     rest = C.settle(met.where("n > 2 and id <> hub").join(label, "id", "left").select("key", "id", "m", F.coalesce("least", "id").alias("label")))
     mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     mixed = C.settle(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
     tiled = rest.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.join(lists.select("id", "sig"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "m", "own", "sig")
+    # lists has a row for each id of met
+    both = lists.select("id", "sig").join(first.select("id", "bands"), "id")
+    tiled = tiled.join(both, "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "m", "own", "sig", "bands")
     tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return tiled.mapInArrow(lambda it: _compare(it, forest), "x long, y long, mx long, my long").distinct()
 
@@ -270,13 +278,14 @@ def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: st
     hubs = C.settle(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = C.settle(buckets.join(hubs, "key").select("key", "id", "m", "hub", "n"))
     involved = met.select("id").distinct()
-    lists = C.settle(own.join(involved, "id", "left_semi").mapInArrow(_unit_lists, "id long, units array<long>, sig binary").dropDuplicates(["id"]))
+    # the same join at every size: the ids grow as the texts do
+    lists = C.settle(own.join(involved.hint("merge"), "id", "left_semi").mapInArrow(_unit_lists, "id long, units array<long>, sig binary").dropDuplicates(["id"]))
     weights = met.where("id = hub").select(F.col("id").alias("x"), F.col("m").alias("mx")).distinct()
     star = met.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y"), F.col("m").alias("my")).distinct().join(weights, "x")
     links = C.settle(_checked(star, lists))
     label = components(links)
     for forest in (True, False):
-        more = C.settle(_checked(_across(met, label, lists, forest), lists))
+        more = C.settle(_checked(_across(met, label, lists, first, forest), lists))
         if not more.isEmpty():
             # the classes so far count as links
             label = components(more.unionByName(label.select(F.col("least").alias("x"), F.col("id").alias("y"))))
@@ -290,5 +299,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs whose id is that of their class; columns stay as they are."""
     found = classes(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
     kept = found.where(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("class_id")).select(F.col("class_id").alias("__class")).distinct()
-    return docs.join(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) == F.col("__class"), "left_semi")
+    # the same join at every size: the ids grow as the texts do
+    return docs.join(kept.hint("merge"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) == F.col("__class"), "left_semi")
 

@@ -130,7 +130,8 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFram
     taken = mix(docs, id_col=id_col, **options)
     times = taken.where("size > 0").groupBy("doc_id").agg(F.max(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int").alias("__times")).where("__times > 0").withColumnRenamed("doc_id", "__id")
     times = C.settle(times)
-    return docs.join(times, docs[id_col].eqNullSafe(times["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    # the same join at every size: the ids grow as the texts do
+    return docs.join(times.hint("merge"), docs[id_col].eqNullSafe(times["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
 
 
 #: DuckDB SQL for mix() over the table documents, with the default parameters.
