@@ -7,6 +7,7 @@ run of bytes other than 0x20 and 0x09-0x0D, which is ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -197,8 +198,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
+    """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more.
+
+    Memory that the driver's Python has freed goes back to the system, where the C library can.
+    """
     gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
     spark._jvm.System.gc()
 
 

@@ -13,6 +13,7 @@ each by itself; other columns are passed through untouched.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,6 +155,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
     return texts.join(F.broadcast(chosen), "__id").select("text", "label", (F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(4))).cast("int").alias("part"))
 
 
+def _digest(ids: np.ndarray, values: np.ndarray) -> bytes:
+    h = hashlib.blake2b(ids, digest_size=16)
+    h.update(values)
+    return h.digest()
+
+
 def _logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, steps: int, penalty: float) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the weighted log loss, both classes with equal weight.
 
@@ -223,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = SAMPLE_PE
     # views of the Arrow buffers, no copies
     sparse = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(b.as_buffer(), "<f4")) for a, b in zip(got["ids"], got["values"], strict=True)]
     # rows arrive in no set order; sums of floats shall not depend on it
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(sparse[i][0]), sparse[i][0].tobytes(), sparse[i][1].tobytes()))
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(sparse[i][0]), _digest(*sparse[i])))
     y, part, sparse = y[order], part[order], [sparse[i] for i in order]
     held = part == 0
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
@@ -232,6 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = SAMPLE_PE
     z = np.array([float((weights[i] * v).sum()) + bias for i, v in sparse])
     use = held if held.any() else np.ones(len(y), dtype=bool)
     slope, offset = platt(z[use], y[use], np.where(y[use] == 1, 1 / max(1, (y[use] == 1).sum()), 1 / max(1, (y[use] == 0).sum())) * use.sum() / 2)
+    del got, sparse
+    C.release(docs.sparkSession)
     return Model(weights, bias, slope, offset, bits)
 
 
