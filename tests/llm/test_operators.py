@@ -1,8 +1,9 @@
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from solvegrid.llm import bpe, chat, dartminhash, linededup, mixing, packing, quality, substring
+from solvegrid.llm import bpe, chat, dartminhash, linededup, mixing, packing, quality, substring, topk, toxicity
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -47,3 +48,25 @@ def test_near_copies(spark):
     assert {r.doc_id: r.class_id for r in dartminhash.classes(d).collect()} == {3: 3, 5: 3, 7: 3, 9: 9}
     kept = {r.doc_id: r.n_removed for r in substring.digests(d).collect()}
     assert kept == {3: 0, 5: 199, 7: 200, 9: 0}
+
+
+def test_models_learn_and_do_without_labels(spark):
+    good = "a calm report on rivers and the towns along them in spring and in autumn, written with care and some patience "
+    rows = [(i, f"{good * 2} {i}" if i % 2 else f"$ # {i} buy % now & " * 12, "a") for i in range(200)]
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = quality.fit(d, labels)
+    assert quality.fit(d, labels).weights.tobytes() == got.weights.tobytes()
+    assert quality.fit(d, labels.limit(0)) is None and toxicity.fit(d, labels.limit(0)) is None
+    scored = toxicity.annotate(docs(spark, [(1, None, None), (2, "", "a")]), None).select("__toxicity.score").collect()
+    assert [r.score for r in scored] == [0.0, 0.0]
+
+
+def test_topk_is_brute_force(spark):
+    rows = [(i, [((i * 7 + j * 3) % 11 - 5) / 8 for j in range(4)]) for i in range(60)] + [(100, None), (120, [0.5, None, 0.5, 0.5]), (140, [float("nan")] * 4)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 5).collect()
+    whole = {i: [int(64 * x // 1) for x in v] for i, v in rows[:60]}
+    want = set()
+    for q in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
