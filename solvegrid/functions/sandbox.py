@@ -8,6 +8,7 @@ import subprocess
 import sys
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +26,10 @@ def run(code: str, stdin: str = "", seconds: float = 5.0, memory_mb: int = 512)
         resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 20, 1 << 20))
 
     with tempfile.TemporaryDirectory() as folder:
+        # a file: an argument has a length limit
+        Path(folder, "main.py").write_text(code, encoding="utf-8")
         try:
-            done = subprocess.run([sys.executable, "-I", "-c", code], input=stdin, capture_output=True, text=True, timeout=seconds, cwd=folder, env={"PATH": "/usr/bin:/bin"}, preexec_fn=limit, check=False)
+            done = subprocess.run([sys.executable, "-I", "main.py"], input=stdin, capture_output=True, text=True, timeout=seconds, cwd=folder, env={"PATH": "/usr/bin:/bin"}, preexec_fn=limit, check=False)
         except subprocess.TimeoutExpired:
             return {"status": "timeout", "output": "", "error": ""}
     return {"status": "ok" if done.returncode == 0 else "failed", "output": done.stdout[:OUTPUT], "error": done.stderr[-2000:]}

@@ -88,9 +88,9 @@ def strip_thinking(text: Column) -> Column:
 
 #: Patterns of an option letter, in order of priority.
 OPTION_PATTERNS = (
-    r"(?i)(?:final answer|answer|correct option|option)\s*(?:is|:)?\s*\(?([A-H])\)?",
+    r"(?i)(?:final\s+answer|answer|choice|option)[ \t]*(?:is|:)?[ \t]*\(?[ \t]*([A-H])[ \t]*\)?",
+    r"(?mdU)^\s*\(?\s*([A-H])\s*\)?\s*(?:[.)])?\s*$",
     r"\(([A-H])\)",
-    r"(?m)^\s*([A-H])\s*[.)]?\s*$",
 )
 
 
@@ -99,9 +99,38 @@ def option_letter(text: Column) -> Column:
     return F.upper(F.coalesce(*[F.try_element_at(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.lit(-1)) for p in OPTION_PATTERNS]))
 
 
-def casename(text: Column) -> Column:
+#: Characters that the comparison of statutes and case names leaves out.
+LEGAL_DROP = ("[\"'`“”‘’]", r"(?U)[\s·ㆍ・\-()\[\]{}.,:;，。]")
+#: A statute with its article, and what announces and ends a case name.
+STATUTE = r"([가-힣A-Za-z0-9·ㆍ()]+법)\s*제\s*\d+(?:조|항|호)(?:의\s*\d+)?(?:\s*제\s*\d+(?:항|호))*"
+CASE_SAID, CASE_HEAD, CASE_TAIL, CASE_EDGE = r"(?:죄명|범죄명|정답|답)\s*[:：]\s*([^\n]+)", r"^(?:정답은|답은)\s*", r"(?:입니다|이다)[.。]?$", " \t\r\n\"'`.,:;"
+
+
+def legal_plain(text: Column) -> Column:
     """Without quotes, blanks, punctuation and brackets, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, "[\"'“”‘’`]", ""), r"(?U)[\s.,:;!?(){}\[\]<>]", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(text, LEGAL_DROP[0], ""), LEGAL_DROP[1], ""))
+
+
+def case_name(text: Column) -> Column:
+    """What follows the last announcement, else the last line, without copula and edges."""
+    bare = strip_thinking(text)
+    said = F.coalesce(F.try_element_at(F.regexp_extract_all(bare, F.lit(CASE_SAID), F.lit(1)), F.lit(-1)), F.element_at(F.split(bare, r"\r\n|\n|\r"), -1))
+    cut = F.regexp_replace(F.trim(F.regexp_replace(F.trim(said), CASE_HEAD, "")), CASE_TAIL, "")
+    return F.btrim(F.trim(cut), F.lit(CASE_EDGE))
+
+
+def statutes(text: Column, gold: Column) -> Column:
+    """The plain statutes that a text names, and those of gold that its plain form holds."""
+    bare = strip_thinking(text)
+    plain = legal_plain(bare)
+    named = F.transform(F.regexp_extract_all(bare, F.lit(STATUTE), F.lit(0)), legal_plain)
+    held = F.filter(F.transform(gold, legal_plain), lambda g: (g != "") & F.contains(plain, g))
+    return F.array_sort(F.array_distinct(F.array_union(F.filter(named, lambda x: x != ""), held)))
+
+
+def statutes_match(text: Column, gold: Column) -> Column:
+    want = F.array_sort(F.array_distinct(F.filter(F.transform(gold, legal_plain), lambda g: g != "")))
+    return (F.size(want) > 0) & (statutes(text, gold) == want)
 
 
 def same_set(a: Column, b: Column) -> Column:
@@ -117,26 +146,82 @@ def category_path(path: Column) -> Column:
     return F.array_distinct(F.transform(F.split(path, "->"), lambda x: F.trim(x)))
 
 
-def failure_kind(error: Column) -> Column:
-    """By the first mark that an error text holds."""
-    low = F.lower(error)
-    return (
-        F.when(low.contains("missing parentheses in call to 'print'"), "py2")
-        .when(low.contains("taberror") | low.contains("inconsistent use of tabs"), "tab")
-        .when(low.contains("public static void") | low.contains("system.out"), "java")
-        .when(low.contains("syntaxerror") | low.contains("indentationerror"), "syntax")
-        .otherwise("runtime")
+def failure_kind(status: Column, error: Column, code: Column) -> Column:
+    """Why a reference solution fails: runtime errors by the first mark that holds, else the status."""
+    syntax = error.contains("SyntaxError")
+    kind = (
+        F.when(syntax & (code.contains("print ") | code.contains("raw_input")), "py2_syntax")
+        .when(error.contains("TabError"), "tab_error")
+        .when(code.contains("import java") | code.contains("public class"), "java_ref")
+        .when(syntax, "syntax_other")
+        .otherwise("runtime_error")
     )
+    return F.when(status == "accepted", "PASS").when(status == "runtime_error", kind).otherwise(first_nonempty(status, F.lit("fail")))
+
+
+#: Families by domain and by dataset, in order of priority; anything else is coding.
+FAMILIES = {"math": (("math",), ("bigmath", "math", "numina_cot")), "qasc": (("qasc", "science_mc", "mc"), ("qasc",)), "lbox": (("lbox", "legal"), ("lbox",))}
+
+
+def task_family(dataset: Column, domain: Column) -> Column:
+    low = [F.coalesce(F.lower(c), F.lit("")) for c in (domain, dataset)]
+    return F.coalesce(*[F.when(low[0].isin(*a) | low[1].isin(*b), name) for name, (a, b) in FAMILIES.items()], F.lit("coding"))
+
+
+#: Praise, two of which stop the refining of an answer, and words that never let it stop.
+PRAISE = ("perfect", "no issues", "no bugs", "excellent", "flawless", "no errors", "completely correct", "works correctly")
+BLAME = ("incorrect", "not correct", "bug")
+
+
+def may_stop(feedback: Column) -> Column:
+    """A score of 9 of 10 or 90 of 100; without a score up to 100, two kinds of praise and no blame."""
+    low = F.lower(feedback)
+    score = F.nullif(F.regexp_extract(feedback, r"(?i)(?:Score|Grade|Rating):\s*(\d+)", 1), F.lit("")).try_cast("decimal(38,0)")
+    praised = F.size(F.filter(F.array(*map(F.lit, PRAISE)), lambda x: F.contains(low, x))) >= 2
+    blamed = F.exists(F.array(*map(F.lit, BLAME)), lambda x: F.contains(low, x))
+    return F.coalesce(F.when(score <= 10, score >= 9).when(score <= 100, score >= 90).otherwise(praised & ~blamed), F.lit(False))
+
+
+def starter_code(mode: Column, entry: Column, parameters: Column, reference: Column) -> Column:
+    """A stub with the signature of the entry point: from the parameters, or from the reference's definition; null without one."""
+    stub = "):\n\t\t# complete this function\n\t\t"
+    method = lambda names: F.concat(F.lit("class Solution:\n\tdef "), entry, F.lit("("), names, F.lit(stub))
+    definition = F.concat(F.lit(r"def\s+\Q"), entry, F.lit(r"\E\s*\(([^)]*)\)"))
+    signature = F.try_element_at(F.regexp_extract_all(reference, definition, F.lit(1)), F.lit(1))
+    plain = F.concat(F.lit("def "), entry, F.lit("("), signature, F.lit("):\n\t# complete this function\n\t"))
+    listed = F.array_join(F.concat(F.array(F.lit("self")), F.coalesce(parameters, F.array().cast("array<string>"))), ", ")
+    return F.when(mode == "gfg_function", method(listed)).when(mode == "function_call", F.when(reference.contains("class Solution"), method(signature)).otherwise(plain))
+
+
+def output_text(text: Column, strip: bool = True) -> Column:
+    """Line ends as \n; white space at line ends and at both ends of the text goes, if strip."""
+    out = F.regexp_replace(text, r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(out, r"(?mdU)\s+$", ""), r"(?U)^\s+|\s+$", "") if strip else out
 
 
-def lines_equal(a: Column, b: Column) -> Column:
-    """Equal after the white space at each end of both, or token by token."""
-    t = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
-    return (F.trim(a) == F.trim(b)) | (t(a) == t(b))
+def output_tokens(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
 
 
 def is_close(a: Column, b: Column, rel: float = 1e-9, absolute: float = 0.0) -> Column:
-    return F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
+    """Equal, or finite and within either tolerance; NaN is close to nothing."""
+    number = ~F.isnan(a) & ~F.isnan(b)
+    finite = (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
+    return number & ((a == b) | (finite & (F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute)))))
+
+
+def outputs_match(actual: Column, expected: Column, kind: str = "exact_or_token_match", case_sensitive: bool = True, strip: bool = True, rel: float = 1e-6, absolute: float = 1e-6) -> Column:
+    """A program's output against the expected one. Kinds: special_judge_unresolved (never), numeric_tolerance (token by token), case_insensitive, exact, and token by token for any other."""
+    if kind == "special_judge_unresolved":
+        return F.lit(False)
+    if kind == "numeric_tolerance":
+        x, y = output_tokens(actual), output_tokens(expected)
+        close = lambda a, b: F.coalesce(is_close(a.try_cast("double"), b.try_cast("double"), rel, absolute), a == b)
+        return F.when(F.size(x) == F.size(y), F.forall(F.zip_with(x, y, close), lambda z: z)).otherwise(False)
+    a, b = output_text(actual, strip), output_text(expected, strip)
+    if kind == "case_insensitive" or not case_sensitive:
+        a, b = F.lower(a), F.lower(b)
+    return a == b if kind in ("exact", "case_insensitive") else (a == b) | (output_tokens(a) == output_tokens(b))
 
 
 def softmax(logits: Column) -> Column:

@@ -115,3 +115,21 @@ def plurality(solve: DataFrame) -> DataFrame:
     best = votes.withColumn("r", F.row_number().over(Window.partitionBy("problem_id").orderBy(F.desc("w"), "pred"))).where("r = 1").select("problem_id", F.col("pred").alias("plurality"))
     own = solve.join(best, "problem_id")
     return own.select("problem_id", "expert_id", "plurality", F.round((F.col("pred") == F.col("plurality")).cast("int") + 0.01 * F.col("conf"), 6).alias("score"))
+
+
+def random_route(solve: DataFrame) -> DataFrame:
+    """What a random pick of an expert is expected to solve: the mean of the experts' means."""
+    return solve.groupBy("expert_id").agg(F.avg("solved").alias("mean")).agg(F.round(F.avg("mean"), 9).alias("expected"))
+
+
+def score_file(results: DataFrame, id_col: str, score: str, show: int = 20) -> DataFrame:
+    """n_passed, total, pass_pct, and the first failures by id. A score passes at 100, less a rounding error; fails on no results."""
+    passed = F.col(score) >= 100 - 1e-6
+    failures = results.where(F.coalesce(~passed, F.lit(True))).select(F.col(id_col).alias("id")).orderBy("id").limit(show).agg(F.array_sort(F.collect_list("id")).alias("failures"))
+    whole = results.agg(F.count_if(passed).alias("n_passed"), F.count(F.lit(1)).alias("total"), F.round(F.count_if(passed) * 100 / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("pass_pct"))
+    return whole.where(F.when(F.col("total") > 0, True).otherwise(F.raise_error(F.lit("no results")).cast("boolean"))).join(failures)
+
+
+def report(solve: DataFrame, methods: list[str], subset: str) -> DataFrame:
+    """A row a subset, a column a method: accuracy in percent with two decimals, null where the subset has no rows."""
+    return solve.groupBy(subset).pivot("expert_id", methods).agg(F.round(F.avg("solved") * 100, 2))

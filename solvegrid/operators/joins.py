@@ -47,3 +47,8 @@ def holdout(items: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def fan_out(items: DataFrame, roster: DataFrame) -> DataFrame:
     """Every item for every expert; the roster is a handful of rows that the caller made."""
     return items.join(roster)
+
+
+def renamed(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """The key by its name where it has one, else as it is."""
+    return rows.join(names.select(key, F.col(name).alias("__name")), key, "left").withColumn(key, F.coalesce("__name", key)).drop("__name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import softmax
+
 EPS = 1e-6
 
 
@@ -77,3 +79,16 @@ def pad_ranked_ids(parsed: Column, roster: Column, k: int) -> Column:
     """The first k of the known ids in the order given, then of the roster."""
     known = F.filter(parsed, lambda x: F.array_contains(roster, x))
     return F.slice(F.array_distinct(F.concat(known, roster)), 1, k)
+
+
+def best_checkpoint(log: DataFrame, by: str, recorded: str, step: str, accuracy: str) -> DataFrame:
+    """The recorded best step, else the saved step of the best accuracy (the later of equals), else the last one saved; by says why."""
+    g = log.groupBy(by).agg(F.max(recorded).alias("__r"), F.max(F.when(F.col(accuracy).isNotNull(), F.struct(accuracy, step))).getField(step).alias("__a"), F.max(step).alias("__l"))
+    reason = F.when(F.col("__r").isNotNull(), "recorded").when(F.col("__a").isNotNull(), "accuracy").otherwise("latest")
+    return g.select(by, F.coalesce("__r", "__a", "__l").alias("step"), reason.alias("reason"))
+
+
+def letter_confidence(logits: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """The likeliest option, the first of equals, and its share under a softmax."""
+    a = logits.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x.getField(value)).alias("v"))
+    return a.select(key, (F.array_position("v", F.array_max("v")) - 1).alias("choice"), F.round(F.array_max(softmax(F.col("v"))), 9).alias("share"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import extract, grading
 from ..functions import text as X
 from ..operators import coverage, evolog, joins, ranking, relation, scores, splits
 from ..sources.readers import table
@@ -535,9 +536,9 @@ def extract_option_letter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.option_letter(raw).alias("letter"))
 
 
-@query("SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name, '[\"''“”‘’`]', '', 'g'), '[\\s.,:;!?(){}\\[\\]<>]', '', 'g')) AS name FROM part")
+@query("SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name, '[\"''`“”‘’]', '', 'g'), '[\\s·ㆍ・\\-()\\[\\]{}.,:;，。]', '', 'g')) AS name FROM part")
 def lbox_normalize(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", X.casename(F.col("p_name")).alias("name"))
+    return table(spark, sf, "part").select("p_partkey", X.legal_plain(F.col("p_name")).alias("name"))
 
 
 @query("SELECT p_partkey, (p_size % 2 = 0) AS same FROM part")
@@ -547,6 +548,124 @@ def set_equality_answer(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.same_set(a, b).alias("same"))
 
 
+@query(r"""SELECT conv_id, turn, upper(coalesce(regexp_extract_all(text, '(?i)(?:final\s+answer|answer|choice|option)[ \t]*(?:is|:)?[ \t]*\(?[ \t]*([A-H])[ \t]*\)?', 1)[-1], regexp_extract_all(text, '(?m)^\s*\(?\s*([A-H])\s*\)?\s*(?:[.)])?\s*$', 1)[-1], regexp_extract_all(text, '\(([A-H])\)', 1)[-1])) AS letter FROM conversations WHERE text IS NOT NULL""")
+def option_letter_in_turns(spark, sf):
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", X.option_letter(F.col("text")).alias("letter"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS same, '도로교통법제' || p_size || '조' || CASE WHEN p_size % 3 = 1 THEN ',형법제1조' ELSE '' END AS found FROM part")
+def statute_answers(spark, sf):
+    gold = F.array(F.concat(F.lit("도로교통법 제"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 2, "항").otherwise("조")))
+    said = F.concat(F.lit("<think>민법 제9조</think> 도로교통법 제 "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 1, "조, 형법 제1조").otherwise("조"), F.lit(" 위반"))
+    return table(spark, sf, "part").select("p_partkey", X.statutes_match(said, gold).alias("same"), F.array_join(X.statutes(said, gold), ",").alias("found"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '사기' || c_custkey ELSE '절도 ' || c_custkey END AS name FROM customer")
+def case_name_answers(spark, sf):
+    key = F.col("c_custkey").cast("string")
+    said = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("죄명: 상해\n정답 : '사기"), key, F.lit("'입니다."))).otherwise(F.concat(F.lit("생각\n정답은 절도 "), key, F.lit("이다")))
+    return table(spark, sf, "customer").select("c_custkey", X.case_name(said).alias("name"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN event_id % 120 IN (9, 10) OR event_id % 120 BETWEEN 90 AND 100 WHEN user_id % 3 = 1 THEN event_id % 2 = 0 ELSE false END AS stops FROM events")
+def refine_may_stop(spark, sf):
+    k = F.col("user_id") % 3
+    said = F.when(k == 0, F.concat(F.lit("rating: "), (F.col("event_id") % 120).cast("string"))).when(k == 1, F.when(F.col("event_id") % 2 == 0, "Perfect, NO ERRORS").otherwise("perfect")).otherwise("excellent, flawless, one bug")
+    return table(spark, sf, "events").select("event_id", (X.may_stop(said)).alias("stops"))
+
+
+@query("""SELECT CASE doc_id % 7 WHEN 0 THEN 'py2_syntax' WHEN 1 THEN 'tab_error' WHEN 2 THEN 'java_ref' WHEN 3 THEN 'syntax_other' WHEN 4 THEN 'runtime_error' WHEN 5 THEN 'timeout' ELSE 'PASS' END AS kind, source, count(*) AS n FROM documents GROUP BY ALL""")
+def failure_census(spark, sf):
+    k = (F.col("doc_id") % 7).cast("int") + 1
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), k)
+    d = table(spark, sf, "documents").select("source", pick(*["runtime_error"] * 5, "timeout", "accepted").alias("s"), pick("SyntaxError: a", "TabError", "boom", "SyntaxError: b", "KeyError", "", "").alias("e"), pick("print 1", "x", "import java.util", "x", "x", "x", "x").alias("c"))
+    return d.groupBy(X.failure_kind(F.col("s"), F.col("e"), F.col("c")).alias("kind"), "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'math' WHEN lang = 'de' THEN 'lbox' WHEN lang = 'fr' THEN 'qasc' ELSE 'coding' END AS family FROM documents")
+def task_family_case(spark, sf):
+    dataset = F.when(F.col("lang") == "en", "BigMath").when(F.col("lang") == "fr", "qasc").otherwise("mbpp")
+    domain = F.when(F.col("lang") == "de", "Legal").when(F.col("lang") == "en", "lbox")
+    return table(spark, sf, "documents").select("doc_id", X.task_family(dataset, domain).alias("family"))
+
+
+@query(r"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'class Solution:' || chr(10) || chr(9) || 'def f(self, a, b):' || chr(10) || chr(9) || chr(9) || '# complete this function' || chr(10) || chr(9) || chr(9) WHEN 1 THEN 'def f(x, y=' || p_size || '):' || chr(10) || chr(9) || '# complete this function' || chr(10) || chr(9) END AS stub FROM part""")
+def starter_code_stub(spark, sf):
+    k = F.col("p_size") % 3
+    code = F.when(k == 1, F.concat(F.lit("import os\ndef f (x, y="), F.col("p_size").cast("string"), F.lit("):\n    return x"))).otherwise("def g(x): pass")
+    mode = F.when(k == 0, "gfg_function").otherwise("function_call")
+    return table(spark, sf, "part").select("p_partkey", X.starter_code(mode, F.lit("f"), F.array(F.lit("a"), F.lit("b")), code).alias("stub"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, abs(l_quantity - (l_quantity + l_tax)) <= greatest(0.05 * greatest(abs(l_quantity), abs(l_quantity + l_tax)), 1e-6) AS close, l_linenumber % 2 = 0 AS exact, true AS tokens, l_linenumber % 3 <> 1 AS folded FROM lineitem""")
+def output_comparison(spark, sf):
+    n = F.col("l_linenumber")
+    q = F.concat(F.lit("ok "), F.col("l_quantity").cast("string"))
+    t = F.concat(F.lit("ok  "), (F.col("l_quantity") + F.col("l_tax")).cast("string"), F.lit("\n"))
+    a, b = F.lit("Yes 1 \r\nno\n"), F.when(n % 2 == 0, "Yes 1\nno").otherwise("Yes  1\nno")
+    c = F.when(n % 3 == 1, "yes 2\nNO").otherwise("yes 1\nNO")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.outputs_match(q, t, "numeric_tolerance", rel=0.05).alias("close"), X.outputs_match(a, b, "exact").alias("exact"), X.outputs_match(a, b).alias("tokens"), X.outputs_match(a, c, "case_insensitive").alias("folded"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '\\frac{' || o_custkey || '}{2}' WHEN 1 THEN o_custkey::VARCHAR ELSE 'just ' || o_custkey END AS answer FROM orders")
+def math_answers(spark, sf):
+    k, c = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("Final Answer: 1\n\\boxed{0} so \\boxed{\\frac{"), c, F.lit("}{2}} \\boxed{"))).when(k == 1, F.concat(F.lit("<think>\\boxed{3}</think>**final answer: "), c, F.lit("**\nbye"))).otherwise(F.concat(F.lit(" just "), c))
+    return table(spark, sf, "orders").select("o_orderkey", extract.column(extract.math_answer)(said).alias("answer"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_nationkey % 4 = 0 AS passed, CASE n_nationkey % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'wrong_answer' WHEN 2 THEN 'runtime_error' ELSE 'unsupported' END AS status, CASE n_nationkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_passed, 2 AS n_total FROM nation")
+def graded_programs(spark, sf):
+    """Functions that double a number, are right for 0 only, raise, and have no entry point."""
+    k = (F.col("n_nationkey") % 4).cast("int") + 1
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), k)
+    cases = '[{"input": {"value": {"args": ["0"]}}, "expected_output": {"value": ["0"]}}, {"input": {"value": {"args": ["2"]}}, "expected_output": {"value": ["4"]}}]'
+    spec = '{"eval_mode": "function_call", "entry_point": "f", "timeout_seconds": 20}'
+    rows = table(spark, sf, "nation").select("n_nationkey", pick(spec, spec, spec, '{"eval_mode": "function_call"}').alias("spec"), pick("class Solution:\n    def f(self, x): return 2 * x", "def f(x): return x", "def f(x): return 1 / 0", "").alias("code"), F.lit(cases).alias("cases"))
+    return grading.graded(rows, "n_nationkey", "spec", "code", "cases")
+
+
+@over_solve("SELECT round(avg(m), 9) AS expected FROM (SELECT avg(solved) AS m FROM solve GROUP BY expert_id)")
+def random_route_expectation(spark, sf):
+    return coverage.random_route(solve(spark, sf))
+
+
+@over_solve(""", s AS (SELECT problem_id FROM solve WHERE expert_id = 'e1' AND solved = 0 ORDER BY problem_id LIMIT 20)
+  SELECT sum(solved)::BIGINT AS n_passed, count(*) AS total, round(sum(solved) * 100.0::DOUBLE / count(*), 6) AS pass_pct, (SELECT string_agg(problem_id, ',' ORDER BY problem_id) FROM s) AS failures FROM solve WHERE expert_id = 'e1'""")
+def pass_at_1_file(spark, sf):
+    r = solve(spark, sf).where("expert_id = 'e1'").withColumn("score", F.col("solved") * 100.0)
+    return coverage.score_file(r, "problem_id", "score").withColumn("failures", F.array_join("failures", ","))
+
+
+@over_solve("SELECT lang, " + ", ".join(f"round(avg(solved) FILTER (expert_id = 'e{k}') * 100, 2) AS e{k}" for k in range(EXPERTS)) + " FROM solve GROUP BY lang")
+def method_subset_report(spark, sf):
+    return coverage.report(solve(spark, sf), [f"e{k}" for k in range(EXPERTS)], "lang")
+
+
+@query("SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'named ' || source ELSE source END AS source FROM documents")
+def codename_lookup(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    names = spark.createDataFrame([("src0", "named src0"), ("src1", "named src1")], "source string, name string")
+    return joins.renamed(d, names, "source", "name").select("doc_id", "source")
+
+
+@query("""SELECT user_id, coalesce(max(CASE WHEN user_id % 3 = 0 AND event_id % 5 = 0 THEN event_id END), arg_max(event_id, (value, event_id)) FILTER (user_id % 3 = 1 AND event_type <> 'view'), max(event_id)) AS step,
+  CASE WHEN max(CASE WHEN user_id % 3 = 0 AND event_id % 5 = 0 THEN event_id END) IS NOT NULL THEN 'recorded' WHEN count(*) FILTER (user_id % 3 = 1 AND event_type <> 'view') > 0 THEN 'accuracy' ELSE 'latest' END AS reason FROM events GROUP BY user_id""")
+def best_checkpoint(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 5 == 0), F.col("event_id")).alias("recorded"), F.when((F.col("user_id") % 3 == 1) & (F.col("event_type") != "view"), F.col("value")).alias("accuracy"))
+    return ranking.best_checkpoint(e, "user_id", "recorded", "event_id", "accuracy")
+
+
+@over_solve(", x AS (SELECT problem_id, ordinal, conf, exp(conf) / sum(exp(conf)) OVER (PARTITION BY problem_id) AS p FROM solve) SELECT problem_id, ordinal AS choice, round(p, 9) AS share FROM x QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY conf DESC, ordinal) = 1")
+def letter_confidence(spark, sf):
+    return ranking.letter_confidence(solve(spark, sf), "problem_id", "ordinal", "conf")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate <= DATE '1996-12-31' AND o_orderstatus = 'F'")
+def contest_window_filter(spark, sf):
+    return table(spark, sf, "orders").where("o_orderdate between date '1995-01-01' and date '1996-12-31' and o_orderstatus = 'F'").select("o_orderkey")
+
+
 # --- retrieval ----------------------------------------------------------------------------
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda s: length(s) > 2)"
