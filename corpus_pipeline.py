@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; n_chars follows."""
-    return linededup.dedup(docs, length_col="n_chars")
+    """Later repeated runs of lines go, and later copies of long single lines; n_chars follows."""
+    return linededup.dedup(docs, alone=linededup.ALONE, length_col="n_chars")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,11 @@ found: each window of that many lines selects the smallest hash of its ``gram``-
 
 A window is told apart by the 64-bit hashes of all its lines.
 
+With ``alone`` a line of that many words or more is a run by itself: its later occurrences go
+whatever their neighbours are, in documents of one line too. Without it, as in the query and
+its SQL, a repeated line between different neighbours stays, and so does a copied one-line
+document.
+
 Cases: null text has no lines and stays null; a text all of whose lines go keeps its blank
 lines; rows that share id and text are one place, so none is earlier than the other; a null
 id counts as the smallest; other columns and their names play no part.
@@ -27,6 +32,8 @@ from . import common as C
 
 GRAM = 1
 WINDOW = 2
+#: Words that make a single line evidence of a copy; shorter ones need a neighbour.
+ALONE = 20
 _WS = " \t\r\x0b\x0c"
 
 
@@ -40,6 +47,12 @@ def _zip(arrays: list[Column], names: list[str]) -> Column:
     return F.arrays_zip(*arrays).cast(f"array<struct<{kind}>>")
 
 
+def _lines(text_col: str) -> Column:
+    """Trimmed lines that aren't blank, s, and their numbers in the text, i."""
+    trimmed = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(F.btrim(x, F.lit(_WS)).alias("s"), i.cast("long").alias("i")))
+    return F.filter(trimmed, lambda x: x["s"] != "")
+
+
 def windows(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tag, fingerprint, fresh, k0..., i0...: a row for each window of lines.
 
@@ -48,8 +61,7 @@ def windows(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col:
     """
     span = gram + window - 1
     place, tag = _key(id_col, text_col)
-    trimmed = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(F.btrim(x, F.lit(_WS)).alias("s"), i.cast("long").alias("i")))
-    lines = F.transform(F.filter(trimmed, lambda x: x["s"] != ""), lambda x: F.struct(F.xxhash64(x["s"]).alias("h"), x["i"].alias("i")))
+    lines = F.transform(_lines(text_col), lambda x: F.struct(F.xxhash64(x["s"]).alias("h"), x["i"].alias("i")))
     base = docs.select(place.alias("id"), tag.alias("tag"), lines.alias("lines")).where(F.size("lines") >= span)
     base = base.select("id", "tag", F.col("lines.h").alias("h"), F.col("lines.i").alias("i"), F.size("lines").alias("n"))
 
@@ -76,7 +88,19 @@ def windows(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col:
     return rows.withColumn("fresh", ~F.col("p").eqNullSafe(F.col("q"))).drop("p", "q")
 
 
-def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def single(docs: DataFrame, alone: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tag, i: the later occurrences of lines of alone words or more."""
+    place, tag = _key(id_col, text_col)
+    # words are counted only in lines that have room for so many
+    long = F.filter(_lines(text_col), lambda x: (F.length(x["s"]) >= 2 * alone - 1) & (F.regexp_count(x["s"], F.lit(C.WORD)) >= alone))
+    rows = docs.select(place.alias("id"), tag.alias("tag"), F.inline(F.transform(long, lambda x: F.struct(F.xxhash64(x["s"]).alias("h"), x["i"].alias("i")))))
+    # written, so that the join can split a very common line
+    rows = C.settle(rows)
+    lead = C.settle(rows.groupBy("h").agg(F.min(F.struct("id", "i")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.col("lead.id").alias("lead_id"), F.col("lead.i").alias("lead_i")))
+    return rows.join(lead, "h").where(F.struct("id", "i") > F.struct("lead_id", "lead_i")).select("id", "tag", "i")
+
+
+def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, alone: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tag, ranges: the ranges of line numbers that go, in order, for documents that have any."""
     span = gram + window - 1
     keys = [f"k{j}" for j in range(span)]
@@ -86,7 +110,10 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col:
     found = C.settle(rows.join(again, "fingerprint", "left_semi").drop("fingerprint", "fresh"))
     lead = found.groupBy(*keys).agg(F.min(F.struct("id", "i0")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.col("lead.id").alias("lead_id"), F.col("lead.i0").alias("lead_i"))
     later = found.join(C.settle(lead), keys).where(F.struct("id", "i0") > F.struct("lead_id", "lead_i"))
-    gone = later.select("id", "tag", F.explode(F.array(*[f"i{j}" for j in range(span)])).alias("i")).distinct()
+    gone = later.select("id", "tag", F.explode(F.array(*[f"i{j}" for j in range(span)])).alias("i"))
+    if alone is not None:
+        gone = gone.unionByName(single(docs, alone, id_col=id_col, text_col=text_col))
+    gone = gone.distinct()
     order = Window.partitionBy("id", "tag").orderBy("i")
     # lines of one run have the same difference between their number and their rank
     runs = gone.withColumn("run", F.col("i") - F.row_number().over(order)).groupBy("id", "tag", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"))
@@ -107,9 +134,9 @@ def _cut(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataF
     return joined.withColumn("__kept", F.when(F.col("__ranges").isNull(), text).otherwise(F.array_join(F.flatten(pieces), "\n")))
 
 
-def dedup(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, alone: int | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the later repeated runs cut from their texts; length_col, if given, is brought up to date."""
-    found = repeats(docs, gram=gram, window=window, id_col=id_col, text_col=text_col)
+    found = repeats(docs, gram=gram, window=window, alone=alone, id_col=id_col, text_col=text_col)
     joined = _cut(docs, found, id_col, text_col)
 
     def column(i: int, c: str) -> Column:
@@ -122,10 +149,10 @@ def dedup(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col: st
     return joined.select(*[column(i, c) for i, c in enumerate(docs.columns)])
 
 
-def digests(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW, alone: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept_sha256."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeats(slim, gram=gram, window=window)
+    found = repeats(slim, gram=gram, window=window, alone=alone)
     joined = _cut(slim, found, "doc_id", "text")
     full = F.size(F.filter(F.split("c1", "\n", -1), lambda x: F.btrim(x, F.lit(_WS)) != ""))
     removed = F.coalesce(F.aggregate("__ranges", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"] + 1), F.lit(0)).cast("long")
