@@ -12,20 +12,23 @@ coordinate is empty, and keeps the earliest dart of each coordinate. Two texts a
 coordinate with the probability of their similarity.
 
 Classes:
-1. Texts of equal shingles collapse to the one of smallest id before anything is joined.
+1. Texts of equal shingles collapse to one node, a hash of their shingles, before anything is
+   joined; so texts that share an id stay apart.
 2. Signatures are cut into bands. In each bucket of a band every member is linked to the
-   smallest id in it; these links, as many as members, are checked exactly on the shingles.
+   smallest node in it; these links, as many as members, are checked exactly on the shingles.
 3. Where members of a bucket are still in different classes, they are compared within the
    bucket, block against block, by longer signatures, so that no chain is lost; what agrees in
    ``AGREE`` of the coordinates is checked exactly. Members of one class aren't compared. This is
    done twice: at first for the best pairs that would join the classes of a block (a spanning
    forest, so no more pairs than members), then for all pairs that are still between classes.
-4. The classes are the connected components of all checked links.
+4. The classes of texts are the connected components of all checked links; those of ids have
+   the nodes of each id as links besides.
 
 A pair at similarity 0.8 meets in no bucket with probability 3e-6, at 0.9 below 1e-11.
 
 Cases: texts without words (null, empty) are copies of each other; rows that share an id fall
-in one class, since classes are of ids; a null id counts as the smallest long; an empty table
+in one class, since classes are of ids; ``keep_one`` goes by the classes of texts, so no text
+goes unless a near copy, or a chain of them, stays; a null id counts as the smallest long; an empty table
 gives an empty result; other columns and their names play no part.
 """
 
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -132,13 +135,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             offsets = pa.array(np.arange(0, (chunk.n + 1) * bands, bands, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").slice(lo, chunk.n),
+                    batch.column("doc").slice(lo, chunk.n),
+                    batch.column("tag").slice(lo, chunk.n),
                     pa.array(C.segment_sum(C.mix64(unit ^ _G1), first).view(np.int64)),
                     pa.array(C.segment_sum(C.mix64(unit ^ _G2), first).view(np.int64)),
                     pa.array(np.diff(first)),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                 ],
-                ["id", "a", "b", "m", "bands"],
+                ["doc", "tag", "a", "b", "m", "bands"],
             )
 
 
@@ -147,7 +151,8 @@ def _unit_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, _, chunk in C.chunks(batch.column("text")):
             unit, first = units(chunk)
             sig = (signatures(C.mix64(unit + _G2), first, LONG) >> _U(50)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, chunk.n), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(unit.view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "units", "sig"])
+            a, b = (pa.array(C.segment_sum(C.mix64(unit ^ g), first).view(np.int64)) for g in (_G1, _G2))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(unit.view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary())], ["a", "b", "m", "units", "sig"])
 
 
 def _checked(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -265,21 +270,26 @@ def _across(met: DataFrame, label: DataFrame, lists: DataFrame, first: DataFrame
     return tiled.mapInArrow(lambda it: _compare(it, forest), "x long, y long, mx long, my long").distinct()
 
 
-def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id: the smallest id of the class of near copies of each row's text."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
-    sketch = C.settle(own.mapInArrow(lambda it: _sketch(it, bands, rows), "id long, a long, b long, m long, bands array<long>"))
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+
+
+def _nodes(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc, tag (a hash of the text), id (the node) of each row; id, least of each linked node."""
+    node = F.xxhash64("a", "b", "m").alias("id")
+    own = docs.select(_key(id_col).alias("doc"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    sketch = own.mapInArrow(lambda it: _sketch(it, bands, rows), "doc long, tag long, a long, b long, m long, bands array<long>")
     # written, as hubs are, so that the join deals both sides itself and can split a hot key
-    same = C.settle(sketch.groupBy("a", "b", "m").agg(F.min("id").alias("rep")))
-    member = C.settle(sketch.select("id", "a", "b", "m").join(same, ["a", "b", "m"]).select("id", "rep").distinct())
-    reps = member.where("id = rep").select("id")
-    first = sketch.join(reps, "id", "left_semi").where("m > 0").dropDuplicates(["id"])
+    sketch = C.settle(sketch.select("doc", "tag", node, "m", "bands"))
+    # rows of one node have the same bands, whichever is taken
+    first = C.settle(sketch.where("m > 0").groupBy("id").agg(F.min("doc").alias("doc"), F.first("m").alias("m"), F.first("bands").alias("bands")))
     buckets = first.select("id", "m", F.explode("bands").alias("key"))
     hubs = C.settle(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = C.settle(buckets.join(hubs, "key").select("key", "id", "m", "hub", "n"))
-    involved = met.select("id").distinct()
+    involved = first.select("id", "doc").join(met.select("id").distinct(), "id", "left_semi").select("doc").distinct()
     # the same join at every size: the ids grow as the texts do
-    lists = C.settle(own.join(involved.hint("merge"), "id", "left_semi").mapInArrow(_unit_lists, "id long, units array<long>, sig binary").dropDuplicates(["id"]))
+    lists = own.select("doc", "text").join(involved.hint("merge"), "doc", "left_semi").mapInArrow(_unit_lists, "a long, b long, m long, units array<long>, sig binary")
+    lists = C.settle(lists.select(node, "units", "sig").dropDuplicates(["id"]))
     weights = met.where("id = hub").select(F.col("id").alias("x"), F.col("m").alias("mx")).distinct()
     star = met.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y"), F.col("m").alias("my")).distinct().join(weights, "x")
     links = C.settle(_checked(star, lists))
@@ -288,17 +298,35 @@ def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: st
         more = C.settle(_checked(_across(met, label, lists, first, forest), lists))
         if not more.isEmpty():
             # the classes so far count as links
-            label = components(more.unionByName(label.select(F.col("least").alias("x"), F.col("id").alias("y"))))
-    out = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("least", "rep").alias("class"))
-    # several rows of one id may have several texts: their classes are one
-    out = out.groupBy("id").agg(F.min("class").alias("class_id"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id")).join(out, F.col("__id") == F.col("id")).select("doc_id", "class_id")
+            label = components(more.unionByName(_as_links(label)))
+    return sketch.select("doc", "tag", "id"), label
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is that of their class; columns stay as they are."""
-    found = classes(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("class_id")).select(F.col("class_id").alias("__class")).distinct()
-    # the same join at every size: the ids grow as the texts do
-    return docs.join(kept.hint("merge"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) == F.col("__class"), "left_semi")
+def _as_links(label: DataFrame) -> DataFrame:
+    return label.select(F.col("least").alias("x"), F.col("id").alias("y"))
+
 
+def _least_docs(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """id, class: the smallest document id of the class of each node."""
+    own = C.settle(nodes.groupBy("id").agg(F.min("doc").alias("doc")).join(label, "id", "left").select("id", "doc", F.coalesce("least", "id").alias("least")))
+    return C.settle(own.join(C.settle(own.groupBy("least").agg(F.min("doc").alias("class"))), "least").select("id", "class"))
+
+
+def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id: the smallest id of the class of near copies of each row's id."""
+    nodes, label = _nodes(docs, bands, rows, id_col, text_col)
+    ids = C.settle(nodes.groupBy("doc").agg(F.min("id").alias("id"), F.max("id").alias("hi")))
+    several = ids.where("id <> hi").select("doc", F.col("id").alias("x"))
+    if not several.isEmpty():
+        # the texts of one id are in one class
+        label = components(nodes.select("doc", F.col("id").alias("y")).join(several, "doc").select("x", "y").unionByName(_as_links(label)))
+    out = ids.select("doc", "id").join(_least_docs(nodes, label), "id").select(F.col("doc").alias("__id"), F.col("class").alias("class_id"))
+    return docs.select(F.col(id_col).alias("doc_id"), _key(id_col).alias("__own")).join(out, F.col("__own") == F.col("__id")).select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their text's class of near copies; columns stay as they are."""
+    nodes, label = _nodes(docs, bands, rows, id_col, text_col)
+    kept = nodes.join(_least_docs(nodes, label), "id").where(F.col("doc") == F.col("class")).select(F.col("doc").alias("__class"), F.col("tag").alias("__tag")).distinct()
+    # the same join at every size: the ids grow as the texts do
+    return docs.join(kept.hint("merge"), (_key(id_col) == F.col("__class")) & (F.xxhash64(F.col(text_col)) == F.col("__tag")), "left_semi")
