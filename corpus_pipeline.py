@@ -42,7 +42,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("linededup", line_stage), ("minhash", near_stage), ("mixing", mix_stage), ("bpe", token_stage)]
 
-#: The quality model can't be expressed in SQL; the stages are tested against brute force.
+#: The quality model can't be expressed in SQL; operators are tested one by one, run() as a whole is not.
 ORACLE_SQL = None
 
 
