@@ -109,13 +109,11 @@ class Tokens:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.chunk.n), np.diff(self.first))
 
-    def hashes(self, seed: int = 1, fold: np.ndarray | None = None, prefix: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each token's bytes; fold maps bytes first; prefix: of so many bytes only."""
+    def hashes(self, seed: int = 1, fold: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each token's bytes; fold maps bytes first."""
         if not self.n:
             return np.zeros(0, dtype=_U)
         length = self.end - self.start
-        if prefix is not None:
-            length = np.minimum(length, prefix)
         at = np.zeros(self.n + 1, dtype=np.int64)
         np.cumsum(length, out=at[1:])
         rel = np.arange(at[-1]) - np.repeat(at[:-1], length)
@@ -184,16 +182,22 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/solvegrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    # results are read lazily, so the folder goes when the driver's JVM ends
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     release(spark)
     return out
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared folder that the session names; one of our own only in local mode without one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir("/tmp/solvegrid-checkpoints")
-        found = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="solvegrid-"))
+        found = context.getCheckpointDir()
     return found
 
 

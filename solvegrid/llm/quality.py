@@ -2,9 +2,12 @@
 
 Features are the words, word pairs and character 3- and 4-grams (over UTF-8 bytes) of a
 text, hashed into ``2 ** BITS`` buckets for words and as many for characters; each of the
-two groups counts as frequencies. The model is fitted on at most ``sample_per_class``
-labelled rows of each class, a documented bound: those of smallest ``xxhash64(doc_id)``.
-A quarter of these is kept back to calibrate the probability. Every text is scored whole.
+two groups counts as frequencies. The model is fitted on a sample of labelled rows with a
+documented bound for each class: ``sample_per_class`` rows, those of smallest
+``xxhash64(doc_id)``, as far as ``SAMPLE_BYTES`` of text reach, and none of more than
+``SAMPLE_TEXT`` bytes; a row has at most three features a byte, so what the driver gets is
+bounded too. A quarter of the sample is kept back to calibrate the probability. Every text
+is scored whole.
 
 Cases: null or empty text has no words, hence fails the rules; a missing or one-sided
 label table gives no model, and then the rules alone decide; repeated rows are judged
@@ -18,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 BITS = 16
 SAMPLE_PER_CLASS = 1500
+#: Bytes of text that a class is learned from, and of the longest text of these.
+SAMPLE_BYTES, SAMPLE_TEXT = 1 << 24, 1 << 20
 KEEP_AT = 0.35
 MIN_WORDS = 20
 REPEAT_WORDS = 8
@@ -139,11 +144,13 @@ def _sparse(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             )
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES, longest: int = SAMPLE_TEXT) -> DataFrame:
     """text, label, part (0 to 3) of a bounded sample of labelled rows.
 
     Only rows whose crc32 of the id is not 2 modulo 4 are taken, so that the others can
     be held out. The chosen ids are at most sum(per_class) rows: small enough to broadcast.
+    Of their texts those stay whose bytes, summed up in the order of the ids' hashes, are at most
+    most_bytes in their class. Null texts count as empty; an id of several rows gives them all.
     """
     own = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (F.crc32(F.col("__id").cast("string")) % 4 != 2))
     own = own.groupBy("__id").agg(F.max("label").alias("label"))
@@ -151,8 +158,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
     for value, most in per_class.items():
         part = own.where(F.col("label") == value).orderBy(F.xxhash64("__id"), "__id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "__id").select("text", "label", (F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(4))).cast("int").alias("part"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("__size", F.octet_length("text").cast("long")).where(F.col("__size") <= longest)
+    got = texts.join(F.broadcast(chosen), "__id")
+    # the window holds the chosen rows only; sizes of equal ids and hashes count together
+    order = Window.partitionBy("label").orderBy(F.xxhash64("__id"), "__id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    got = got.withColumn("__upto", F.sum("__size").over(order)).where(F.col("__upto") <= most_bytes)
+    return got.select("text", "label", (F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(4))).cast("int").alias("part"))
 
 
 def _digest(ids: np.ndarray, values: np.ndarray) -> bytes:
