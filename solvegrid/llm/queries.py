@@ -26,7 +26,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.annotate(docs, model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("__toxicity.score").alias("score"), F.when(F.col("__toxicity.score") >= toxicity.PREDICT_AT, 1).otherwise(0).alias("predicted"), F.col("__toxicity.n_segments").alias("n_segments"), F.col("__toxicity.top_start").alias("top_start"), F.col("__toxicity.top_end").alias("top_end"))
+    return scored.select("doc_id", held.alias("held_out"), F.col("__toxicity.score").alias("score"), F.when(F.col("__toxicity.score") >= toxicity.PREDICT_AT, 1).otherwise(0).alias("predicted"), F.col("__toxicity.segments").alias("segments"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
