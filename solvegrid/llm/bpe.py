@@ -4,12 +4,19 @@ A word's symbols lie at the leaves. The leaf of a symbol holds the rank of the p
 it makes with its right neighbour; inner nodes hold the minimum, so the root yields the
 lowest rank and the descent that prefers the left child yields the leftmost of it. A
 merge changes three leaves, each in logarithmic time, until the root says that no pair is
-mergeable. A word of up to ``NODE`` symbols is one node of many leaves, whose minimum and
-leftmost place are found in its list; longer words have a binary tree above their leaves. Words are memoised, since texts repeat them; the memo is emptied at a bound.
+mergeable. Words are memoised, since texts repeat them; the memo is emptied at a bound.
 
 The vocabulary file decides the rest: NFC, white space to one blank, lower case, the
 splitting pattern, byte letters and the end-of-word mark. Added tokens are cut out of the
-raw text first. A null text counts as empty and gives no ids.
+raw text first. Characters that Unicode 3.2 has and that behave alike in Python's tables and
+in the tokenizers library are normalised and split here (a character's normal form never
+changes once it is assigned); a text with any other character is normalised and split by the
+library's own normaliser and splitter, whose Unicode version is what counts.
+
+Cases: a null text counts as empty and gives no ids, as does one of white space only; a text
+or word of any length is encoded whole; rows are encoded each by itself, so repeated rows get
+the same ids and an empty table gives no rows; a column of the result's name is replaced,
+other columns and their names play no part.
 """
 
 from __future__ import annotations
@@ -24,10 +31,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 MEMO = 1 << 19
-#: Leaves of a node of the segment tree that keeps them in one list.
-NODE = 32
 _NONE = 1 << 60
 
 
@@ -44,32 +50,11 @@ def byte_letters() -> list[str]:
     return out
 
 
-def _merge_node(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The same within one node: its root is the minimum of its leaves."""
-    get, none = pairs.get, (_NONE, -1)
-    ids = list(ids)
-    leaves = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-    while leaves:
-        low = min(leaves)
-        if low is none or low[0] == _NONE:
-            break
-        i = leaves.index(low)
-        ids[i] = low[1]
-        del ids[i + 1], leaves[i]
-        if i < len(leaves):
-            leaves[i] = get((ids[i], ids[i + 1]), none)
-        if i:
-            leaves[i - 1] = get((ids[i - 1], ids[i]), none)
-    return ids
-
-
 def merge_word(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Merges ids by (rank, id of the result) of their pairs: lowest rank first, leftmost among equals."""
     n = len(symbols)
     if n < 2:
         return symbols
-    if n <= NODE:
-        return _merge_node(symbols, pairs)
     size = 1 << (n - 1).bit_length()
     tree = [_NONE] * (2 * size)
     ids, right, left = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -143,11 +128,16 @@ class Codec:
         patterns = [s["pattern"]["Regex"] for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if s["type"] == "Split"]
         if len(patterns) != 1 or not set(self.normalizers) <= {"NFC", "Replace", "Lowercase"} or spec.get("decoder") or spec.get("post_processor"):
             raise ValueError(f"{path} isn't of the supported form")
-        self.words = regex.compile(patterns[0]).findall
+        self.split = regex.compile(patterns[0]).findall
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.suffix] for c in letters]
+        self.byte = {c: b for b, c in enumerate(letters)}
         self.memo = _Memo(self)
+        library = Tokenizer.from_file(path)
+        self.library = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.plain: set[str] = set(map(chr, range(128)))
+        self.foreign: set[str] = set()
 
     def normalise(self, text: str) -> str:
         """NFC and lower case. White space stays as it is: whatever its kind, the split drops it."""
@@ -158,6 +148,29 @@ class Codec:
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         return text
 
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text without added tokens."""
+        if text.isascii() or not self._foreign(set(text) - self.plain):
+            return self.split(self.normalise(text))
+        return self._library_words(text)
+
+    def _library_words(self, text: str) -> list[str]:
+        normalise, split = self.library
+        byte = self.byte
+        return [bytes(map(byte.__getitem__, w)).decode("utf-8", "surrogatepass") for w, _ in split(normalise(text))]
+
+    def _foreign(self, unknown: set[str]) -> bool:
+        """Whether any of the characters behaves otherwise in the library; keeps what it learns."""
+        if unknown & self.foreign:
+            return True
+        for c in unknown:
+            probe = f"a{c}b {c} 1{c}2 '{c}"
+            if unicodedata.ucd_3_2_0.category(c) != "Cn" and self.split(self.normalise(probe)) == self._library_words(probe):
+                self.plain.add(c)
+            else:
+                self.foreign.add(c)
+        return bool(unknown & self.foreign)
+
     def encode_word(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8")
         symbols = [self.inner[b] for b in data]
@@ -166,13 +179,13 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or "<" not in text:
-            return list(chain.from_iterable(map(self.memo.__getitem__, self.words(self.normalise(text)))))
+            return list(chain.from_iterable(map(self.memo.__getitem__, self.words(text))))
         out: list[int] = []
         for part in self.cut.split(text):
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out.extend(chain.from_iterable(map(self.memo.__getitem__, self.words(self.normalise(part)))))
+                out.extend(chain.from_iterable(map(self.memo.__getitem__, self.words(part))))
         return out
 
     def decode(self, ids) -> str:
