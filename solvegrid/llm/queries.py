@@ -59,7 +59,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digests(chat.render(turns.unionByName(own)))
+    return chat.digests(chat.conversations(turns.unionByName(own)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
