@@ -9,8 +9,10 @@ The selections of a query are then merged. All arithmetic is on integers and exa
 
 Cases: vectors that are null, empty or hold a null or non-finite component, and rows with a
 null id, take no part; shorter vectors count as padded by zeros; equal rows asked twice are
-one query; candidates that repeat stay repeated; ties go to the smaller id; a score beyond
-the range of a long is given as the nearest long.
+one query; candidates that repeat stay repeated; ties go to the smaller id; a component whose
+product with scale is beyond the range of a double counts as the nearest double, a score beyond
+that of a long is given as the nearest long; an empty table, or one without queries, gives no
+rows; other columns and their names play no part.
 """
 
 from __future__ import annotations
@@ -48,9 +50,11 @@ def _pack(batches: Iterator[pa.RecordBatch], scale: float, most: int) -> Iterato
         for block, i, v in zip(batch.column("block").to_pylist(), batch.column("id").to_pylist(), batch.column("v"), strict=True):
             if not v.is_valid or v.values.null_count or not len(v.values):
                 continue
-            x = np.floor(np.asarray(v.values, dtype=np.float64) * scale)
+            x = np.asarray(v.values, dtype=np.float64)
             if not np.isfinite(x).all():
                 continue
+            with np.errstate(over="ignore"):
+                x = np.nan_to_num(np.floor(x * scale))
             if held and (block != now or len(held) >= most):
                 yield flush()
             now = block
@@ -147,9 +151,9 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_i
 #: DuckDB SQL for the query over the table embeddings.
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 20
 """
