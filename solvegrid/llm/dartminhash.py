@@ -256,11 +256,13 @@ def _compare(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Rec
         yield found
 
 
-def _across(met: DataFrame, label: DataFrame, lists: DataFrame, first: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (x, y, mx, my) of members of one bucket in different classes whose long signatures agree."""
+def _across(met: DataFrame, label: DataFrame, lists: DataFrame, first: DataFrame, forest: bool) -> DataFrame | None:
+    """Pairs (x, y, mx, my) of members of one bucket in different classes whose long signatures agree; None where no bucket has any."""
     rest = C.settle(met.where("n > 2 and id <> hub").join(label, "id", "left").select("key", "id", "m", F.coalesce("least", "id").alias("label")))
     mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     mixed = C.settle(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    if mixed.isEmpty():
+        return None
     tiled = rest.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # lists has a row for each id of met
@@ -295,7 +297,10 @@ def _nodes(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -
     links = C.settle(_checked(star, lists))
     label = components(links)
     for forest in (True, False):
-        more = C.settle(_checked(_across(met, label, lists, first, forest), lists))
+        pairs = _across(met, label, lists, first, forest)
+        if pairs is None:
+            break
+        more = C.settle(_checked(pairs, lists))
         if not more.isEmpty():
             # the classes so far count as links
             label = components(more.unionByName(_as_links(label)))
