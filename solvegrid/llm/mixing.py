@@ -125,7 +125,8 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFram
     """docs as the mix takes them: a row for each whole pass, and one more where half of it or more is in the run.
 
     The columns are those of docs. Rows without words aren't taken. Rows that share an id are
-    taken as often as the first of them.
+    all taken as often as the one of them that the mix takes most often; an empty table gives
+    no rows.
     """
     taken = mix(docs, id_col=id_col, **options)
     times = taken.where("size > 0").groupBy("doc_id").agg(F.max(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int").alias("__times")).where("__times > 0").withColumnRenamed("doc_id", "__id")

@@ -11,8 +11,13 @@ A packed row has its ids as little-endian 32-bit integers, padded to the length;
 cumulative segment lengths; positions that restart at 0 in each segment (and in the padding);
 and of each segment the document and the offset in it.
 
-Cases: null or empty texts have no token and make no segment; repeated rows are packed each;
-ids may be null; other columns play no part.
+What a shard has follows from how the reader splits its input: reruns over the same splits give
+the same rows, another split size gives other shards of the same segments.
+
+Cases: null or empty texts have no token and make no segment; a text of any length is encoded
+whole; segments of equal length, id and place are packed in the order in which they are read;
+repeated rows are packed each; ids may be null; an empty table gives no rows; other columns
+and their names play no part.
 """
 
 from __future__ import annotations

@@ -149,8 +149,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
 
     Only rows whose crc32 of the id is not 2 modulo 4 are taken, so that the others can
     be held out. The chosen ids are at most sum(per_class) rows: small enough to broadcast.
-    Of their texts those stay whose bytes, summed up in the order of the ids' hashes, are at most
-    most_bytes in their class. Null texts count as empty; an id of several rows gives them all.
+    Their texts are dealt by a hash of the id into 256 parts; as many parts are taken, in order,
+    as have at most most_bytes of their class together. Null texts count as empty; an id of several rows gives them all.
     """
     own = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (F.crc32(F.col("__id").cast("string")) % 4 != 2))
     own = own.groupBy("__id").agg(F.max("label").alias("label"))
@@ -159,10 +159,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
         part = own.where(F.col("label") == value).orderBy(F.xxhash64("__id"), "__id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("__size", F.octet_length("text").cast("long")).where(F.col("__size") <= longest)
-    got = texts.join(F.broadcast(chosen), "__id")
-    # the window holds the chosen rows only; sizes of equal ids and hashes count together
-    order = Window.partitionBy("label").orderBy(F.xxhash64("__id"), "__id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    got = got.withColumn("__upto", F.sum("__size").over(order)).where(F.col("__upto") <= most_bytes)
+    got = C.settle(texts.join(F.broadcast(chosen), "__id").withColumn("__part", F.pmod(F.xxhash64(F.col("__id"), F.lit(9)), F.lit(256))))
+    # at most 256 sums a class
+    sums = got.groupBy("label", "__part").agg(F.sum("__size").alias("__size"))
+    upto = sums.withColumn("__upto", F.sum("__size").over(Window.partitionBy("label").orderBy("__part"))).where(F.col("__upto") <= most_bytes)
+    got = got.join(F.broadcast(upto.select("label", "__part")), ["label", "__part"], "left_semi")
     return got.select("text", "label", (F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(4))).cast("int").alias("part"))
 
 

@@ -49,7 +49,7 @@ def test_rows_are_kept(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = {r.doc_id: r.d.n_tokens for r in docs.select("doc_id", bpe.digests(path)(F.col("text")).alias("d")).collect()}
     assert got[1] == got[2] == got[3] == 0 and got[4] > 100
-    assert bpe.encode_column(docs.drop("ids"), path).count() == len(ROWS)
+    assert bpe.encode_column(docs, path).count() == len(ROWS)
 
 
 def test_packing_is_lossless(spark, docs):
@@ -65,4 +65,4 @@ def test_topk_ties_and_chat_nulls(spark):
     got = topk.search(v, F.col("vec_id") % 20 == 0, 3).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
     t = spark.createDataFrame([(1, 0, None, None), (1, 1, "assistant", None), (2, None, "assistant", "a\\<s>"), (2, 1, "user", "</s>")], "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("x"))
-    assert {(r.conv_id, r.n_turns) for r in chat.digests(chat.render(t)).collect()} == {(1, 2), (2, 2)}
+    assert {(r.conv_id, r.n_turns) for r in chat.digests(chat.conversations(t)).collect()} == {(1, 2), (2, 2)}
