@@ -34,7 +34,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the token ids, and whether they decode to a text that encodes to them again."""
+    """doc_id, source, the token ids and their number, and a hash of the text that they decode to."""
     path = queries._vocabulary()
     ids = bpe.encode_column(docs.select("doc_id", "source", "text"), path)
     return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decoder(path)("ids").cast("binary"), 256).alias("decoded_sha256"))
@@ -42,7 +42,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("linededup", line_stage), ("minhash", near_stage), ("mixing", mix_stage), ("bpe", token_stage)]
 
-#: The quality model can't be expressed in SQL; operators are tested one by one, run() as a whole is not.
+#: The quality model and the merges can't be expressed in SQL; tests compare run() with a brute-force version of all stages.
 ORACLE_SQL = None
 
 
