@@ -1,12 +1,13 @@
 """Grading of untrusted programs against test cases, in Arrow batches with one sandbox a case.
 
-Specifications and cases are JSON. A row that runs out of time fails alone.
+Specifications and cases are JSON. A row that runs out of time or can't be read fails alone.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 
@@ -21,11 +22,47 @@ import collections, math, bisect, heapq, itertools, functools, re, string
 from collections import defaultdict, Counter, deque, OrderedDict
 from functools import lru_cache, reduce
 """
-#: Modules whose names contest solutions take for granted, and those imported as such.
-STARRED = "string re datetime collections heapq bisect copy math random statistics itertools functools operator io sys json builtins typing"
-CONTEST = "".join(f"from {m} import *\n" for m in STARRED.split()) + "import " + ", ".join(STARRED.split()[:-2]) + "\nsys.setrecursionlimit(2000)\n"
-#: Codes of a failed case.
-WRONG, LATE, FAILED = -2, -3, -4
+#: What contest solutions take for granted.
+CONTEST = """from string import *
+from re import *
+from datetime import *
+from collections import *
+from heapq import *
+from bisect import *
+from copy import *
+from math import *
+from random import *
+from statistics import *
+from itertools import *
+from functools import *
+from operator import *
+from io import *
+from sys import *
+from json import *
+from builtins import *
+from typing import *
+import string
+import re
+import datetime
+import collections
+import heapq
+import bisect
+import copy
+import math
+import random
+import statistics
+import itertools
+import functools
+import operator
+import io
+import sys
+import json
+sys.setrecursionlimit(2000)
+"""
+#: Codes of a failed case, and of a run that couldn't be made.
+WRONG, LATE, FAILED, BROKEN = -2, -3, -4, -5
+#: What the codes say.
+MESSAGES = {WRONG: "Wrong Answer", LATE: "Time Limit Exceeded", FAILED: "Runtime Error", BROKEN: "TestRunnerError"}
 _MARK = "\x1eresult:"
 _CALL = """
 import json as _json
@@ -103,6 +140,16 @@ def _named(spec: dict, code: str, case: dict) -> tuple[str, bool]:
     return str(got["status"]), got["status"] == "ok" and str(got["output"]).split() == str(_side(case, "expected_output")).split()
 
 
+def _readable(spec: object, cases: object) -> bool:
+    if not isinstance(spec, dict) or not isinstance(cases, list):
+        return False
+    try:
+        _limits(spec)
+    except (TypeError, ValueError):
+        return False
+    return all(isinstance(c, dict) and all(isinstance(c.get(k) or {}, dict) for k in ("input", "expected_output")) for c in cases)
+
+
 def _side(case: dict, name: str) -> object:
     return (case.get(name) or {}).get("value")
 
@@ -117,7 +164,13 @@ _STATUS = {"ok": "wrong_answer", "failed": "runtime_error", "timeout": "timeout"
 
 
 def grade(spec: dict, code: str, cases: list[dict]) -> dict[str, object]:
-    """passed, status, n_passed, n_total. Without cases nothing passes; the last error that isn't a wrong answer names the status."""
+    """passed, status, n_passed, n_total. Without cases nothing passes; the last error that isn't a wrong answer names the status.
+
+    A specification that isn't an object, or cases that aren't a list of objects with objects for
+    their sides, have the status malformed.
+    """
+    if not _readable(spec, cases):
+        return {"passed": False, "status": "malformed", "n_passed": 0, "n_total": len(cases) if isinstance(cases, list) else 0}
     mode = spec.get("eval_mode")
     if mode not in RUNNERS or (mode != "stdin_stdout" and not spec.get("entry_point")):
         return {"passed": False, "status": "unsupported", "n_passed": 0, "n_total": len(cases)}
@@ -149,22 +202,45 @@ def _decimals(line: str) -> list[Decimal] | None:
 
 def contest_codes(code: str, inputs: list[str], outputs: list[str], entry: str | None = None, seconds: float = 6.0) -> list[int]:
     """1 for each case passed, up to the first that fails with its code. With an entry point a function is called with a JSON value a line, else the program reads its input."""
-    codes = []
+    return contest_run(code, inputs, outputs, entry, seconds)[0]
+
+
+def contest_run(code: str, inputs: list[str], outputs: list[str], entry: str | None = None, seconds: float = 6.0, budget: float | None = None) -> tuple[list[int], dict[str, object]]:
+    """contest_codes, and what is known of the failure: error_code, error_message, error, inputs, output, expected.
+
+    All cases together have (seconds + 1) a case and 5 more, or the budget; a run beyond that, and
+    one whose cases can't be read, gives WRONG alone with the error code BROKEN.
+    """
+    until = time.monotonic() + ((seconds + 1) * len(inputs) + 5 if budget is None else budget)
+    codes: list[int] = []
     for given, want in zip(inputs, outputs, strict=False):
-        if entry:
-            call = _CALL.format(entry=entry, args=json.dumps([json.loads(x) for x in given.split("\n")]), kwargs="{}")
-            program, stdin = f"{CONTEST}\n{code}\n{call}print({_MARK!r} + _json.dumps(_out))", ""
-        else:
-            program, stdin = f"{CONTEST}\ntry:\n    exec(compile({code!r}, 'solution', 'exec'), globals() | {{'__name__': '__main__'}})\nexcept SystemExit:\n    pass\n", given
-        got = sandbox.run(program, stdin, seconds)
+        left = until - time.monotonic()
+        try:
+            program, stdin = _contest_program(code, given, entry)
+            wanted = json.loads(want) if entry else want
+        except ValueError:
+            return [WRONG], {"error_code": BROKEN, "error_message": MESSAGES[BROKEN], "error": "the case can't be read"}
+        got = sandbox.run(program, stdin, min(seconds, left)) if left > 0 else {"status": "timeout"}
+        if got["status"] == "timeout" and time.monotonic() >= until:
+            return [WRONG], {"error_code": BROKEN, "error_message": MESSAGES[BROKEN], "error": "out of time for all cases"}
+        known = {"inputs": given, "expected": want}
         if got["status"] != "ok":
-            return [*codes, LATE if got["status"] == "timeout" else FAILED]
+            failed = LATE if got["status"] == "timeout" else FAILED
+            return [*codes, failed], known | {"error_code": failed, "error_message": MESSAGES[failed], "error": got["error"]}
         shown = str(got["output"])
-        right = loads(shown.rpartition(_MARK)[2].strip()) == json.loads(want) if entry else same_lines(shown, want)
+        right = loads(shown.rpartition(_MARK)[2].strip()) == wanted if entry else same_lines(shown, want)
         if not right:
-            return [*codes, WRONG]
+            return [*codes, WRONG], known | {"error_code": WRONG, "error_message": MESSAGES[WRONG], "output": shown.rpartition(_MARK)[2].strip()}
         codes.append(1)
-    return codes
+    return codes, {}
+
+
+def _contest_program(code: str, given: str, entry: str | None) -> tuple[str, str]:
+    """The program of a case and what it reads."""
+    if entry:
+        call = _CALL.format(entry=entry, args=json.dumps([json.loads(x) for x in given.split("\n")]), kwargs="{}")
+        return f"{CONTEST}\n{code}\n{call}print({_MARK!r} + _json.dumps(_out))", ""
+    return f"{CONTEST}\ntry:\n    exec(compile({code!r}, 'solution', 'exec'), globals() | {{'__name__': '__main__'}})\nexcept SystemExit:\n    pass\n", given
 
 
 def graded(rows: DataFrame, id_col: str, spec_col: str, code_col: str, cases_col: str) -> DataFrame:
@@ -172,7 +248,7 @@ def graded(rows: DataFrame, id_col: str, spec_col: str, code_col: str, cases_col
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [grade(loads(s) or {}, c or "", loads(t) or []) for s, c, t in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            done = [grade(loads(s or "{}"), c or "", loads(t or "[]")) for s, c, t in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([d[k] for d in done], kind) for k, kind in (("passed", pa.bool_()), ("status", pa.string()), ("n_passed", pa.int32()), ("n_total", pa.int32())))], ["id", "passed", "status", "n_passed", "n_total"])
 
     return rows.selectExpr(f"cast(`{id_col}` as string) as id", f"`{spec_col}`", f"`{code_col}`", f"`{cases_col}`").mapInArrow(each, "id string, passed boolean, status string, n_passed int, n_total int")
