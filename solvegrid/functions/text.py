@@ -52,13 +52,32 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(normalize(text), " "), lambda x: x != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def numbered_tokens(listed: Column) -> Column:
+    """The tokens of an array, each with its number among its equals, so that sets of them are bags; in linear time once sorted."""
+
+    def of_sorted(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        runs = lambda at: F.transform(at, lambda i, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - i - 1), lambda k: F.concat(F.get(s, i), F.lit(" "), k.cast("string"))))
+        return F.flatten(bound(starts, runs))
+
+    return bound(F.array_sort(listed), of_sorted)
+
+
 def token_f1(a: Column, b: Column) -> Column:
-    """Bag overlap of normalised tokens: 1 if both are empty, 0 if one is."""
-    x, y = tokens(a), tokens(b)
-    count = lambda arr, t: F.size(F.filter(arr, lambda z: z == t))
-    same = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, t: s + F.least(count(x, t), count(y, t)))
-    p, r = same / F.size(x), same / F.size(y)
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
+    """Bag overlap of normalised tokens: 1 if both are empty, 0 if one is; null if either text is."""
+
+    def score(x: Column, y: Column) -> Column:
+        same = F.size(F.array_intersect(x, y))
+        p, r = same / F.size(x), same / F.size(y)
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0) | (same == 0), 0.0).otherwise(2 * p * r / (p + r))
+
+    both = bound(numbered_tokens(tokens(a)), lambda x: bound(numbered_tokens(tokens(b)), lambda y: score(x, y)))
+    return F.when(a.isNotNull() & b.isNotNull(), both)
 
 
 _NUMBER = r"^[+-]?([0-9]+([0-9_]*[0-9])?\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -146,6 +165,47 @@ def category_path(path: Column) -> Column:
     return F.array_distinct(F.transform(F.split(path, "->"), lambda x: F.trim(x)))
 
 
+#: Categories by the second level of a path of mathematics, the third levels of applied mathematics that make one, and what seven categories merge to.
+LEVEL2 = {"Algebra": "algebra", "Geometry": "geometry", "Calculus": "calculus", "Number Theory": "number_theory", "Discrete Mathematics": "discrete_mathematics", "Precalculus": "precalculus"}
+APPLIED = {"Statistics": "statistics_and_probability", "Probability": "statistics_and_probability"}
+MERGED = {
+    "algebra": "algebra",
+    "geometry": "geometry",
+    "statistics_and_probability": "statistics_and_probability",
+    "calculus": "calculus_and_precalculus",
+    "precalculus": "calculus_and_precalculus",
+    "number_theory": "number_theory_and_discrete_math",
+    "discrete_mathematics": "number_theory_and_discrete_math",
+}
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def math_categories(paths: Column) -> Column:
+    """The categories of an array of paths, in order, once each; other paths give none."""
+
+    def one(path: Column) -> Column:
+        level = lambda n: F.trim(F.try_element_at(F.split(path, "->"), F.lit(n)))
+        return F.when(level(1) == "Mathematics", F.when(level(2) == "Applied Mathematics", _looked_up(APPLIED, level(3))).otherwise(_looked_up(LEVEL2, level(2))))
+
+    return F.array_distinct(F.filter(F.transform(paths, one), lambda c: c.isNotNull()))
+
+
+def merged_categories(categories: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(categories, lambda c: _looked_up(MERGED, c)), lambda c: c.isNotNull()))
+
+
+def task_name(kind: Column, case: Column) -> Column:
+    """Case names by the type of their case, other tasks by their type."""
+    return F.when(kind == "casename", F.concat(F.lit("casename_"), F.coalesce(case, F.lit("None")))).otherwise(F.coalesce(kind, F.lit("None")))
+
+
+def id_task(id_: Column) -> Column:
+    return F.when(id_.startswith("statute_"), "statute").otherwise("casename")
+
+
 def failure_kind(status: Column, error: Column, code: Column) -> Column:
     """Why a reference solution fails: runtime errors by the first mark that holds, else the status."""
     syntax = error.contains("SyntaxError")

@@ -1 +1,7 @@
-"""See the modules of this package."""
+"""Python functions travel to the executors by value."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relation import bitmask, n_solved
+from .relation import bit, bitmask, n_solved
+
+#: Combinations of experts that are compared at most.
+SETS = 10_000
 
 
 def pct(x):
@@ -32,6 +36,40 @@ def war(solve: DataFrame, roster: DataFrame) -> DataFrame:
     return roster.select("ordinal", "expert_id").join(counts, "expert_id", "left").select("ordinal", "expert_id", F.coalesce("war", F.lit(0)).alias("war"))
 
 
+def exclusive(solve: DataFrame) -> DataFrame:
+    """expert_id, problem_id: the problems that only this expert solves."""
+    alone = n_solved(solve).where("n_solved = 1").select("problem_id")
+    return solve.where("solved = 1").join(alone, "problem_id", "left_semi").select("expert_id", "problem_id")
+
+
+def niche(solve: DataFrame, expert: str) -> DataFrame:
+    """The problems that this expert solves and none of the others does."""
+    done = solve.where("solved = 1")
+    others = done.where(F.col("expert_id") != expert).select("problem_id")
+    return done.where(F.col("expert_id") == expert).select("problem_id").join(others, "problem_id", "left_anti").distinct()
+
+
+def recovered(niche_: DataFrame, passed: DataFrame) -> DataFrame:
+    """niche_n, recovered_n, whole: how much of a niche a newcomer passes; an empty niche is recovered."""
+    hit = niche_.join(passed.select("problem_id").distinct().withColumn("__in", F.lit(1)), "problem_id", "left")
+    both = hit.agg(F.count(F.lit(1)).alias("niche_n"), F.count("__in").alias("recovered_n"))
+    return both.withColumn("whole", F.col("niche_n") == F.col("recovered_n"))
+
+
+def sparse_summary(pairs: DataFrame) -> DataFrame:
+    """pass_at_1, war and the union for pairs (problem_id, ordinal, solved) of which not all are there; missing ones count as not solved and are never made."""
+    own = bit(F.col("ordinal"))
+    by = pairs.groupBy("problem_id").agg(F.bit_or(F.when(F.col("solved") == 1, own).otherwise(F.lit(0).cast("long"))).alias("mask"), F.bit_or(own).alias("seen"))
+    masks = by.groupBy("mask", "seen").agg(F.count(F.lit(1)).alias("n"))
+    total = masks.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("mask") != 0, F.col("n")).otherwise(0)).alias("union_ub"), F.max("seen").alias("__most"))
+    # as many ordinals as the largest mask has bits
+    each = masks.join(F.broadcast(total.select("__most"))).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.log2(F.col("__most")) + 1e-9))))
+    each = each.withColumn("bit", bit(F.col("ordinal")))
+    solved, alone = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask") == F.col("bit")
+    out = each.where(F.col("seen").bitwiseAND(F.col("bit")) != 0).groupBy("ordinal").agg(F.sum(F.when(solved, F.col("n")).otherwise(0)).alias("n_solved"), F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("war"))
+    return out.join(F.broadcast(total.drop("__most")))
+
+
 def histogram(solve: DataFrame) -> DataFrame:
     return n_solved(solve).groupBy("n_solved").agg(F.count(F.lit(1)).alias("n_problems"))
 
@@ -61,8 +99,11 @@ def best_and_oracle(solve: DataFrame) -> DataFrame:
 def best_fixed_set(solve: DataFrame, experts: int, k: int) -> DataFrame:
     """The k experts of the largest union; of equals the first in order of combination.
 
-    Problems are first counted by mask, of which there are at most 2 ** experts.
+    Problems are first counted by mask, of which there are at most 2 ** experts. More than SETS
+    combinations are an error.
     """
+    if comb(experts, k) > SETS:
+        raise ValueError(f"{comb(experts, k)} sets of {k} experts, at most {SETS}")
     masks = bitmask(solve).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
     sets = [(i, sum(1 << e for e in c), ",".join(f"e{e}" for e in c)) for i, c in enumerate(combinations(range(experts), k))]
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("m"), F.lit(s).alias("members")) for i, m, s in sets]))
@@ -78,8 +119,13 @@ def class_labels(solve: DataFrame, experts: int) -> DataFrame:
     return n_solved(solve).join(rare, "problem_id", "left").select("problem_id", label.alias("label"))
 
 
-def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings, from their contingency table."""
+def agreement(pairs: DataFrame, a: str, b: str, drop_a: tuple[str, ...] = (), drop_b: tuple[str, ...] = (), least: int = 50) -> DataFrame:
+    """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings, from their contingency table.
+
+    Rows with a label to be dropped don't count; fewer rows than `least` give null.
+    """
+    for c, drop in ((a, drop_a), (b, drop_b)):
+        pairs = pairs.where(~F.col(c).isin(*drop)) if drop else pairs
     cells = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     choose = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     entropy = lambda c: F.sum(-(F.col(c) / F.col("t")) * F.log(F.col(c) / F.col("t")))
@@ -94,7 +140,8 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     expected = F.col("sa") * F.col("sb") / (F.col("t") * (F.col("t") - 1) / 2)
     ari = (F.col("sc") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected)
     nmi = (F.col("ha") + F.col("hb") - F.col("hab")) / ((F.col("ha") + F.col("hb")) / 2)
-    return one.select(F.round(ari, 4).alias("ari"), F.round(nmi, 4).alias("nmi"))
+    enough = lambda x: F.when(F.col("t") >= least, F.round(x, 4))
+    return one.select(enough(ari).alias("ari"), enough(nmi).alias("nmi"))
 
 
 def method_subset_accuracy(predictions: DataFrame, subsets: DataFrame) -> DataFrame:

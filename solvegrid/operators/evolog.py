@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 
 def unique_rate(log: DataFrame, width: int) -> DataFrame:
@@ -14,39 +18,61 @@ def unique_rate(log: DataFrame, width: int) -> DataFrame:
     return log.withColumn("seen", F.count(F.lit(1)).over(w)).withColumn("rate", F.round(F.sum("war").over(w) / (F.col("seen") * F.col("batch_n")), 9))
 
 
-def cumulative_war(log: DataFrame) -> DataFrame:
-    w = Window.partitionBy("expert_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+def cumulative_war(log: DataFrame, by_stay: bool = False) -> DataFrame:
+    """Running total, steps and mean of unique solves; by_stay begins anew where an expert was away for a step."""
+    by = ["expert_id"]
+    if by_stay:
+        log = log.withColumn("__stay", F.col("step") - F.row_number().over(Window.partitionBy("expert_id").orderBy("step")))
+        by.append("__stay")
+    w = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return log.select("expert_id", "step", F.sum("war").over(w).alias("total_war"), F.count(F.lit(1)).over(w).alias("active_steps"), F.round(F.avg("war").over(w), 9).alias("average_war"))
 
 
-def lives_fold(events: Column, most: int, step) -> Column:
-    """The lives after each of an ordered array of events; step(lives, event) gives the next."""
-    start = F.struct(F.lit(most).alias("now"), F.array().cast("array<int>").alias("all"))
+def folded(rows: DataFrame, by: list[str], order: str, values: list[str], start: Callable[[], object], step: Callable, result: str, kind: pa.DataType) -> DataFrame:
+    """by, order, result: step(state, order, *values) gives the next state and the row's result, within each group in order.
 
-    def fold(state: Column, e: Column) -> Column:
-        now = step(state["now"], e).cast("int")
-        return F.struct(now.alias("now"), F.concat(state["all"], F.array(now)).alias("all"))
+    Rows are streamed through their task, sorted, so a group of any length takes the memory of a batch.
+    """
+    own = rows.select(*by, order, *values)
+    ddl = T.StructType([*[own.schema[c] for c in (*by, order)], T.StructField(result, from_arrow_type(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in (*by, order, *values)), strict=True):
+                if row[: len(by)] != key:
+                    key, state = row[: len(by)], start()
+                state, got = step(state, *row[len(by) :])
+                out.append(got)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*by, order)], pa.array(out, kind)], [*by, order, result])
 
-    return F.aggregate(events, start, fold, lambda s: s["all"])
+    placed = own.repartition(*by) if by else own.repartition(1)
+    return placed.sortWithinPartitions(*by, order).mapInArrow(run, ddl)
 
 
-def lives(log: DataFrame, most: int, floor: float | None = None, width: int = 1) -> DataFrame:
+def lives(log: DataFrame, most: int, floor: float | None = None, width: int = 1, shared: str | None = None) -> DataFrame:
     """expert_id, step, lives. With a floor: below it on a full window one life goes, above it one returns.
 
     Without: a unique solve restores all lives; in a batch in which someone had one, an expert
-    without loses one; a batch without any changes nothing.
+    without loses one; a batch without any changes nothing, nor does one in which the column
+    `shared`, if given, says that the expert solved something.
     """
     if floor is None:
-        own = log.withColumn("any", F.max("war").over(Window.partitionBy("step")) > 0)
-        event = F.struct("step", F.col("war").alias("war"), F.col("any").alias("any"))
-        step = lambda n, e: F.when(e["war"] > 0, F.lit(most)).when(~e["any"], n).otherwise(F.greatest(n - 1, F.lit(0)))
-    else:
-        own = unique_rate(log, width)
-        event = F.struct("step", F.col("rate"), (F.col("seen") >= width).alias("full"))
-        step = lambda n, e: F.when(~e["full"], n).when(e["rate"] > floor, F.least(n + 1, F.lit(most))).otherwise(F.greatest(n - 1, F.lit(0)))
-    rows = own.groupBy("expert_id").agg(F.array_sort(F.collect_list(event)).alias("e"))
-    zipped = F.explode(F.arrays_zip(F.col("e.step").alias("step"), lives_fold(F.col("e"), most, step).alias("lives")))
-    return rows.select("expert_id", zipped.alias("z")).select("expert_id", "z.step", "z.lives")
+        own = log.withColumn("__any", F.max("war").over(Window.partitionBy("step")) > 0).withColumn("__spared", F.lit(False) if shared is None else F.col(shared) > 0)
+
+        def step(now: int, _, war: int, any_: bool, spared: bool) -> tuple[int, int]:
+            now = most if war > 0 else now if spared or not any_ else max(now - 1, 0)
+            return now, now
+
+        return folded(own, ["expert_id"], "step", ["war", "__any", "__spared"], lambda: most, step, "lives", pa.int32())
+    own = unique_rate(log, width).withColumn("__full", F.col("seen") >= width)
+
+    def by_rate(now: int, _, rate: float, full: bool) -> tuple[int, int]:
+        now = now if not full else min(now + 1, most) if rate > floor else max(now - 1, 0)
+        return now, now
+
+    return folded(own, ["expert_id"], "step", ["rate", "__full"], lambda: most, by_rate, "lives", pa.int32())
 
 
 def centered_average(df: DataFrame, value: str, order: str, width: int) -> DataFrame:
@@ -108,14 +134,17 @@ def gate(steps: DataFrame, lam: float, scale: float, ref: float) -> DataFrame:
     return out.withColumn("decision", decision)
 
 
-def cooldown(steps: DataFrame, width: int) -> DataFrame:
-    """Deletes within `width` steps of the last delete that took effect become noop; swaps are exempt."""
-    rows = steps.agg(F.array_sort(F.collect_list(F.struct("step", "decision"))).alias("e"))
-    start = F.struct(F.lit(-(10**9)).cast("long").alias("last"), F.array().cast("array<struct<step:bigint,decision:string>>").alias("all"))
+def cooldown(steps: DataFrame, width: int, by: list[str] | None = None) -> DataFrame:
+    """Deletes within `width` steps of the last delete that took effect become noop; swaps are exempt. by: the columns of a run."""
+
+    def step(last: int | None, at: int, decision: str) -> tuple[int | None, str]:
+        if decision != "delete":
+            return last, decision
+        return (last, "noop") if last is not None and at - last < width else (at, decision)
+
+    return folded(steps, by or [], "step", ["decision"], lambda: None, step, "decision_", pa.string()).withColumnRenamed("decision_", "decision")
 
-    def fold(s: Column, e: Column) -> Column:
-        held = (e["decision"] == "delete") & (e["step"] - s["last"] < width)
-        now = F.when(held, "noop").otherwise(e["decision"])
-        return F.struct(F.when(now == "delete", e["step"].cast("long")).otherwise(s["last"]).alias("last"), F.concat(s["all"], F.array(F.struct(e["step"].cast("long").alias("step"), now.alias("decision")))).alias("all"))
 
-    return rows.select(F.inline(F.aggregate("e", start, fold, lambda s: s["all"])))
+def action_summary(gated: DataFrame) -> DataFrame:
+    """How often each decision was taken, with the mean utilities."""
+    return gated.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("u_add"), 6).alias("mean_u_add"), F.round(F.avg("u_delete"), 6).alias("mean_u_delete"))

@@ -11,20 +11,43 @@ EPS = 1e-6
 
 
 def znorm(df: DataFrame, column: str, by: str, into: str) -> DataFrame:
-    """(x - mean) / (population deviation + 1e-6) within each group."""
-    w = Window.partitionBy(by)
-    return df.withColumn(into, (F.col(column) - F.avg(column).over(w)) / (F.stddev_pop(column).over(w) + EPS))
+    """(x - mean) / (population deviation + 1e-6) within each group; groups are aggregated, rows aren't moved for it if they are few."""
+    stats = df.groupBy(by).agg(F.avg(column).alias("__mean"), F.stddev_pop(column).alias("__dev"))
+    return df.join(stats, by).withColumn(into, (F.col(column) - F.col("__mean")) / (F.col("__dev") + EPS)).drop("__mean", "__dev")
+
+
+#: Parts of a group whose values are summed up apart.
+PARTS = 64
+
+
+def below(counts: DataFrame, by: str, value: str) -> DataFrame:
+    """counts (by, value, c: rows of each distinct value) with below and all: rows of smaller values, and of the group.
+
+    A group's values are cut into parts by its percentiles; sums go over the parts, then within them.
+    """
+    cuts = counts.groupBy(by).agg(F.percentile_approx(value, [i / PARTS for i in range(1, PARTS)], 1000).alias("__cuts"), F.sum("c").alias("all"))
+    placed = counts.join(cuts, by).withColumn("__part", F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
+    sums = placed.groupBy(by, "__part").agg(F.sum("c").alias("__sum"))
+    # at most PARTS rows a group
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(by, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("__within", F.coalesce(F.sum("c").over(within), F.lit(0))).join(sums, [by, "__part"])
+    return out.select(by, value, "c", (F.col("__before") + F.col("__within")).alias("below"), "all")
 
 
 def average_rank(df: DataFrame, column: str, by: str, into: str) -> DataFrame:
     """Ranks from 1, ties averaged, divided by the group's size."""
-    peers, group = Window.partitionBy(by, column), Window.partitionBy(by)
-    rank = F.rank().over(group.orderBy(column)) + (F.count(F.lit(1)).over(peers) - 1) / 2
-    return df.withColumn(into, rank / F.count(F.lit(1)).over(group))
+    ranks = below(df.groupBy(by, column).agg(F.count(F.lit(1)).alias("c")), by, column)
+    share = ((F.col("below") + (F.col("c") + 1) / 2) / F.col("all")).alias(into)
+    return df.join(ranks.select(by, column, share), [by, column]).select(*df.columns, into)
 
 
 def ordinal_rank(df: DataFrame, column: str, by: str, tie: str, into: str) -> DataFrame:
-    return df.withColumn(into, F.row_number().over(Window.partitionBy(by).orderBy(column, tie)) - 1)
+    """Ranks from 0, ties by another column."""
+    ranks = below(df.groupBy(by, column).agg(F.count(F.lit(1)).alias("c")), by, column)
+    nth = F.row_number().over(Window.partitionBy(by, column).orderBy(tie))
+    return df.withColumn("__nth", nth).join(ranks.select(by, column, "below"), [by, column]).select(*df.columns, (F.col("below") + F.col("__nth") - 1).alias(into))
 
 
 def top_k(df: DataFrame, score: str | Column, k: int) -> DataFrame:
@@ -51,6 +74,36 @@ def anchor_and_residual(solve: DataFrame, score: str, anchor: DataFrame) -> Data
     return first.unionByName(second)
 
 
+def pick_summary(picks: DataFrame) -> DataFrame:
+    """top1, topk, recovered: problems that the first pick solves, that any does, and that only a later one does."""
+    p = picks.groupBy("problem_id").agg(F.max("solved").alias("any"), F.max(F.when(F.col("pick") == 1, F.col("solved")).otherwise(0)).alias("first"))
+    return p.agg(F.sum("first").alias("top1"), F.sum("any").alias("topk"), F.sum(((F.col("any") == 1) & (F.col("first") == 0)).cast("long")).alias("recovered"))
+
+
+def hybrid(solve: DataFrame, first: str | Column, second: str | Column) -> DataFrame:
+    """The best expert by each of two scores; both may pick the same one."""
+    return top_k(solve, first, 1).unionByName(top_k(solve, second, 1))
+
+
+def union_of(picks: DataFrame) -> DataFrame:
+    """covered, total: problems that any pick solves, and all of them."""
+    return picks.groupBy("problem_id").agg(F.max("solved").alias("hit")).agg(F.sum("hit").alias("covered"), F.count(F.lit(1)).alias("total"))
+
+
+def routed_summary(picks: DataFrame, task: str) -> DataFrame:
+    """n and accuracy overall, by task and by expert; a problem that is routed twice is an error."""
+    once = picks.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("problem_id")))
+    once = once.where(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("routed twice: "), F.col("problem_id").cast("string"))).cast("boolean")))
+    g = once.groupingSets([[], [task], ["expert_id"]], task, "expert_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("solved"), 9).alias("accuracy"))
+    return g.select(F.coalesce(task, F.lit("all")).alias(task), F.coalesce("expert_id", F.lit("all")).alias("expert_id"), "n", "accuracy")
+
+
+def chosen_id(reply: Column, roster: Column, keys: tuple[str, ...] = ("selected_expert_id", "selected_critic_id")) -> Column:
+    """The known id that a router's JSON reply names under the first key that it has, else the first of the roster."""
+    said = F.coalesce(*[F.get_json_object(reply, f"$.{k}") for k in keys])
+    return F.when(F.array_contains(roster, said), said).otherwise(F.try_element_at(roster, F.lit(1)))
+
+
 def median_split(solve: DataFrame) -> DataFrame:
     """Accuracy at and above each expert's median confidence and below it, averaged over experts."""
     mid = solve.groupBy("expert_id").agg(F.percentile("conf", 0.5).alias("mid"))

@@ -6,7 +6,7 @@ means not solved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,19 @@ def n_solved(solve: DataFrame) -> DataFrame:
     return solve.groupBy("problem_id").agg(F.sum("solved").alias("n_solved"), F.count(F.lit(1)).alias("n_experts"))
 
 
+#: Experts that a mask has room for.
+MASK = 63
+
+
+def bit(ordinal: Column) -> Column:
+    """The bit of an expert; an ordinal beyond the mask is an error."""
+    fits = F.when((ordinal >= 0) & (ordinal < MASK), ordinal).otherwise(F.raise_error(F.lit(f"more than {MASK} experts don't fit a mask")).cast("long"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), fits.cast("int"))
+
+
 def bitmask(solve: DataFrame) -> DataFrame:
     """problem_id, mask: bit `ordinal` is set if that expert solved it."""
-    return solve.groupBy("problem_id").agg(F.bit_or(F.when(F.col("solved") == 1, F.expr("shiftleft(1L, cast(ordinal as int))")).otherwise(F.lit(0).cast("long"))).alias("mask"))
+    return solve.groupBy("problem_id").agg(F.bit_or(F.when(F.col("solved") == 1, bit(F.col("ordinal"))).otherwise(F.lit(0).cast("long"))).alias("mask"))
 
 
 def to_binned(solve: DataFrame) -> DataFrame:
@@ -41,6 +51,5 @@ def from_binned(binned: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def solve_index(solve: DataFrame) -> DataFrame:
-    """expert_id, solved, failed: the problems of each, in order."""
-    pick = lambda v: F.array_sort(F.collect_list(F.when(F.col("solved") == v, F.col("problem_id"))))
-    return solve.groupBy("ordinal", "expert_id").agg(pick(1).alias("solved"), pick(0).alias("failed"))
+    """expert_id, problem_id, solved: the index of each expert in long form, so no row grows with the problems."""
+    return solve.select("expert_id", "problem_id", (F.col("solved") == 1).alias("solved"))

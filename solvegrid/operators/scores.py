@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +71,85 @@ def weighted(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return own.join(norm, "id").select("id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("w"))
 
 
+#: Queries and pool rows that meet in one task.
+QUERIES, POOL = 2048, 8192
+
+
+def _sparse(rows: DataFrame, into: str) -> DataFrame:
+    """id and its terms as an array of (hash, weight)."""
+    return rows.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "w")).alias(into))
+
+
+def _meet(left: pa.Table, right: pa.Table, k: int, grouped: bool) -> pa.Table:
+    """The k best of a block of the pool for each query: postings by term are scattered into dense scores."""
+    pool, of = right["id"].combine_chunks(), right["terms"].combine_chunks()
+    row = np.repeat(np.arange(len(pool)), np.asarray(of.value_lengths()))
+    h, w = (np.asarray(of.flatten().field(c)) for c in ("h", "w"))
+    order = np.lexsort((row, h))
+    h, w, row = h[order], w[order], row[order]
+    group = np.asarray(right["grp"].combine_chunks()) if grouped else np.arange(len(pool))
+    ids = np.asarray(pool)
+    out = []
+    for query, terms in zip(left["query"].to_pylist(), left["terms"].combine_chunks(), strict=True):
+        q = np.asarray(terms.values.field("h"))
+        by = np.argsort(q)
+        q, qw = q[by], np.asarray(terms.values.field("w"))[by]
+        lo, hi = np.searchsorted(h, q, "left"), np.searchsorted(h, q, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.round(np.bincount(row[at], weights=w[at] * np.repeat(qw, n), minlength=len(ids)), 9)
+        hit = np.flatnonzero(np.bincount(row[at], minlength=len(ids)))
+        best = hit[np.lexsort((ids[hit], -score[hit]))]
+        if grouped:
+            best = best[np.sort(np.unique(group[best], return_index=True)[1])]
+        best = best[:k]
+        out.append((np.full(len(best), query), ids[best], score[best], group[best]))
+    parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4)]
+    return pa.table({"query": parts[0].astype(np.int64), "id": parts[1].astype(np.int64), "score": parts[2].astype(np.float64), "grp": parts[3].astype(np.int64)})
+
+
 def retrieve(queries: DataFrame, pool: DataFrame, k: int, group: DataFrame | None = None) -> DataFrame:
-    """query, id, score, rank: the k best of the pool by cosine; at most one of each group, if given."""
-    weights = idf(pool)
-    p, q = weighted(pool, weights), weighted(queries, weights).select(F.col("id").alias("query"), "term", F.col("w").alias("wq"))
-    scores = q.join(p, "term").groupBy("query", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 9).alias("score"))
+    """query, id, score, rank: the k best of the pool by cosine, exactly; at most one of each group, if given.
+
+    Blocks of queries meet blocks of the pool once each, dealt by hash, whatever terms they share.
+    Their numbers come from a count of both sides. Ids and groups are whole numbers; only rows that
+    share a term with the query are found.
+    """
+    weights, grouped = idf(pool), group is not None
+    p, q = _sparse(weighted(pool, weights), "terms"), _sparse(weighted(queries, weights), "terms").withColumnRenamed("id", "query")
+    if group is not None:
+        p = p.join(group.select("id", F.col("grp").cast("long").alias("grp")), "id")
+    n_pool, n_queries = (d.agg(F.countDistinct("id")).first()[0] for d in (pool, queries))
+    blocks, groups = max(1, -(-n_pool // POOL)), max(1, -(-n_queries // QUERIES))
+    q = q.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(groups))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    p = p.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    found = q.groupBy("g", "c").cogroup(p.groupBy("g", "c")).applyInArrow(lambda a, b: _meet(a, b, k, grouped), "query long, id long, score double, grp long")
+    order = [F.desc("score"), "id"]
     if group is not None:
-        w = Window.partitionBy("query", "grp").orderBy(F.desc("score"), "id")
-        scores = scores.join(group, "id").withColumn("g", F.row_number().over(w)).where("g = 1").drop("g", "grp")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = found.withColumn("__g", F.row_number().over(Window.partitionBy("query", "grp").orderBy(*order))).where("__g = 1").drop("__g")
+    return found.drop("grp").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def census(rows: DataFrame, by: list[str], broken: Column) -> DataFrame:
+    """n and the share of broken rows of each group, the largest first."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(broken.cast("int")), 9).alias("broken_rate")).orderBy(F.desc("n"), *by)
+
+
+def support_report(rows: DataFrame, by: str, mode: Column, modes: list[str]) -> DataFrame:
+    """A row for each group with a count of each mode, zeros too."""
+    return rows.select(by, mode.alias("__mode")).groupBy(by).pivot("__mode", modes).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def tag_counts(rows: DataFrame, tag: Column) -> DataFrame:
+    """How often each tag occurs; null is a tag."""
+    return rows.select(tag.alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_means_of_all(rows: DataFrame, categories: str) -> DataFrame:
+    """category, score, n, mean of every column whose name ends in _score; each row counts in each of its categories, nulls don't count."""
+    names = [c for c in rows.columns if c.endswith("_score")]
+    each = rows.select(F.explode(categories).alias("category"), F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in names])).alias("s"))
+    return each.groupBy("category", "s.score").agg(F.count("s.value").alias("n"), F.round(F.avg("s.value"), 9).alias("mean"))
 
 
 def select_for_expert(solve: DataFrame, totals: DataFrame, expert: str, low: int | None = None, high: int | None = None) -> DataFrame:

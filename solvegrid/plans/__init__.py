@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""The adaptor onto the synthetic tables and the catalogue of queries."""
+
+from . import catalogue, evaluation  # noqa: F401

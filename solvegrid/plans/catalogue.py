@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import extract, grading
 from ..functions import text as X
-from ..operators import coverage, evolog, joins, ranking, relation, scores, splits
+from ..operators import coverage, evolog, features, joins, ranking, relation, scores, splits
 from ..sources.readers import table
-from . import adaptor
-from .adaptor import EXPERTS, LOG, SOLVE, items, log, roster, solve
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def over_solve(sql: str):
-    return query(f"WITH {SOLVE} {sql}")
-
+from .adaptor import EXPERTS, SOLVE, items, log, roster, solve
+from .registry import ORACLES, QUERIES, over_log, over_solve, query
 
 # --- coverage -----------------------------------------------------------------------------
 
@@ -66,15 +45,12 @@ def war_scores(spark, sf):
 
 @over_solve("SELECT expert_id, problem_id FROM solve JOIN per USING (problem_id) WHERE solved = 1 AND n_solved = 1")
 def exclusive_solves(spark, sf):
-    s = solve(spark, sf)
-    alone = relation.n_solved(s).where("n_solved = 1").select("problem_id")
-    return s.where("solved = 1").join(alone, "problem_id", "left_semi").select("expert_id", "problem_id")
+    return coverage.exclusive(solve(spark, sf))
 
 
 @over_solve("SELECT problem_id FROM solve WHERE expert_id = 'e5' AND solved = 1 EXCEPT SELECT problem_id FROM solve WHERE expert_id <> 'e5' AND solved = 1")
 def niche_of_worst(spark, sf):
-    s = solve(spark, sf).where("solved = 1")
-    return s.where("expert_id = 'e5'").select("problem_id").join(s.where("expert_id <> 'e5'").select("problem_id"), "problem_id", "left_anti").distinct()
+    return coverage.niche(solve(spark, sf), "e5")
 
 
 @over_solve("SELECT sum(any_solved)::BIGINT AS union_ub, count(*) AS total, round(avg(any_solved) * 100, 6) AS union_pct FROM per")
@@ -113,12 +89,6 @@ def binned_round_trip(spark, sf):
     return relation.from_binned(b, roster(spark)).select("problem_id", "ordinal", "expert_id", "solved")
 
 
-@over_solve("SELECT expert_id, count(*) FILTER (solved = 1) AS n_solved, count(*) FILTER (solved = 0) AS n_failed, sum(problem_id) FILTER (solved = 1)::BIGINT AS checksum FROM solve GROUP BY expert_id")
-def agent_solve_index(spark, sf):
-    i = relation.solve_index(solve(spark, sf))
-    return i.select("expert_id", F.size("solved").cast("long").alias("n_solved"), F.size("failed").cast("long").alias("n_failed"), F.aggregate("solved", F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
-
-
 @over_solve("SELECT expert_id, min(problem_id) AS first_problem FROM solve WHERE solved = 1 GROUP BY expert_id")
 def expert_key_union(spark, sf):
     b = relation.to_binned(solve(spark, sf))
@@ -178,12 +148,7 @@ def plurality_agreement(spark, sf):
 def lineitem_solve_matrix(spark, sf):
     """The relation at its largest: sparse pairs, missing ones counting as not solved without being made."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("problem_id"), (F.col("l_suppkey") % 12).alias("ordinal"), (F.col("l_returnflag") != "N").cast("int").alias("solved"))
-    by = rows.groupBy("problem_id").agg(F.bit_or(F.when(F.col("solved") == 1, F.expr("shiftleft(1, cast(ordinal as int))")).otherwise(0)).alias("mask"), F.bit_or(F.expr("shiftleft(1, cast(ordinal as int))")).alias("seen"))
-    masks = by.groupBy("mask", "seen").agg(F.count(F.lit(1)).alias("n"))
-    total = masks.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("mask") != 0, F.col("n")).otherwise(0)).alias("union_ub"))
-    each = masks.withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long")))).withColumn("bit", F.expr("shiftleft(1, cast(ordinal as int))"))
-    out = each.where(F.col("seen").bitwiseAND(F.col("bit")) != 0).groupBy("ordinal").agg(F.sum(F.when(F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("n_solved"), F.sum(F.when(F.col("mask") == F.col("bit"), F.col("n")).otherwise(0)).alias("war"))
-    return out.join(F.broadcast(total))
+    return coverage.sparse_summary(rows)
 
 
 # --- routing ------------------------------------------------------------------------------
@@ -232,8 +197,7 @@ def topk_routing_top2(spark, sf):
 @over_solve("""SELECT sum(t1)::BIGINT AS top1, sum(any2)::BIGINT AS topk, sum((any2 = 1 AND t1 = 0)::INT)::BIGINT AS recovered FROM (
   SELECT problem_id, max(solved) AS any2, max(CASE WHEN pick = 1 THEN solved ELSE 0 END) AS t1 FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY conf DESC, ordinal) AS pick FROM solve) WHERE pick <= 3 GROUP BY problem_id)""")
 def recovered_by_extra_picks(spark, sf):
-    p = ranking.top_k(solve(spark, sf), "conf", 3).groupBy("problem_id").agg(F.max("solved").alias("any"), F.max(F.when(F.col("pick") == 1, F.col("solved")).otherwise(0)).alias("t1"))
-    return p.agg(F.sum("t1").alias("top1"), F.sum("any").alias("topk"), F.sum(((F.col("any") == 1) & (F.col("t1") == 0)).cast("long")).alias("recovered"))
+    return ranking.pick_summary(ranking.top_k(solve(spark, sf), "conf", 3))
 
 
 @over_solve(""", a AS (SELECT expert_id FROM solve GROUP BY ordinal, expert_id ORDER BY round(avg(solved), 9) DESC, ordinal LIMIT 1),
@@ -242,17 +206,14 @@ def recovered_by_extra_picks(spark, sf):
   SELECT sum(hit)::BIGINT AS covered, count(*) AS total FROM (SELECT max(solved) AS hit FROM picks GROUP BY problem_id)""")
 def anchor_residual_union(spark, sf):
     s = solve(spark, sf)
-    picks = ranking.anchor_and_residual(s, "conf", coverage.anchor(s))
-    return picks.groupBy("problem_id").agg(F.max("solved").alias("hit")).agg(F.sum("hit").alias("covered"), F.count(F.lit(1)).alias("total"))
+    return ranking.union_of(ranking.anchor_and_residual(s, "conf", coverage.anchor(s)))
 
 
 @over_solve(""", p AS (SELECT problem_id, solved FROM solve QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY conf DESC, ordinal) = 1 UNION ALL
   SELECT problem_id, solved FROM solve QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY (problem_id + ordinal * 37) % 11 DESC, ordinal) = 1)
   SELECT sum(hit)::BIGINT AS covered, count(*) AS total FROM (SELECT max(solved) AS hit FROM p GROUP BY problem_id)""")
 def hybrid_route_union(spark, sf):
-    s = solve(spark, sf)
-    picks = ranking.top_k(s, "conf", 1).unionByName(ranking.top_k(s, (F.col("problem_id") + F.col("ordinal") * 37) % 11, 1))
-    return picks.groupBy("problem_id").agg(F.max("solved").alias("hit")).agg(F.sum("hit").alias("covered"), F.count(F.lit(1)).alias("total"))
+    return ranking.union_of(ranking.hybrid(solve(spark, sf), "conf", (F.col("problem_id") + F.col("ordinal") * 37) % 11))
 
 
 @over_solve(""", m AS (SELECT expert_id, median(conf) AS mid FROM solve GROUP BY expert_id), s AS (SELECT expert_id, avg(solved) FILTER (conf >= mid) AS hi, avg(solved) FILTER (conf < mid) AS lo FROM solve JOIN m USING (expert_id) GROUP BY expert_id)
@@ -281,55 +242,21 @@ def worst_agent(spark, sf):
     return ranking.worst_agent(r)
 
 
-@over_solve("""SELECT problem_id, array_to_string(list_slice(list_distinct_ordered, 1, 3), ',') AS ids FROM (
-  SELECT problem_id, CASE problem_id % 3 WHEN 0 THEN ['e4','e1','e0'] WHEN 1 THEN ['e0','e1','e2'] ELSE ['e2','e0','e1'] END AS list_distinct_ordered FROM items)""")
-def routing_pad_ids(spark, sf):
-    parsed = F.when(F.col("problem_id") % 3 == 0, F.array(F.lit("e4"), F.lit("x"), F.lit("e1"), F.lit("e4"))).when(F.col("problem_id") % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("e2")))
-    # the roster stands in for what is missing, in its order
-    full = ranking.pad_ranked_ids(parsed, F.array(F.lit("e0"), F.lit("e1"), F.lit("e2"), F.lit("e4")), 3)
-    return items(spark, sf).select("problem_id", F.array_join(full, ",").alias("ids"))
-
-
 @query("""SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IN ('1','2','3') THEN json_extract_string(props, '$.k') ELSE '0' END AS picked FROM events""")
 def routing_parse_default(spark, sf):
     k = F.get_json_object("props", "$.k")
     return table(spark, sf, "events").select("event_id", F.when(k.isin("1", "2", "3"), k).otherwise("0").alias("picked"))
 
 
-@query("""WITH s AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM (SELECT embedding[1]::DOUBLE AS v FROM embeddings WHERE vec_id % 5 <> 0)) SELECT vec_id, round((embedding[1]::DOUBLE - m) / (d + 1e-6), 6) AS z FROM embeddings, s""")
-def standardize_train_fit(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("v"))
-    stats = e.where("vec_id % 5 <> 0").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
-    return e.join(F.broadcast(stats)).select("vec_id", F.round((F.col("v") - F.col("m")) / (F.col("d") + 1e-6), 6).alias("z"))
-
-
-@query("SELECT a.vec_id, len(a.embedding) + len(b.embedding) AS dims, round(a.embedding[1]::DOUBLE + b.embedding[2]::DOUBLE, 6) AS probe FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id JOIN labels l ON a.vec_id = l.doc_id")
-def feature_align_concat(spark, sf):
-    a = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    b = a.select("vec_id", F.col("embedding").alias("other"))
-    both = a.join(b, "vec_id").join(table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id", F.concat("embedding", "other").alias("f"), F.size("embedding").alias("d"))
-    return both.select("vec_id", F.size("f").cast("long").alias("dims"), F.round(F.col("f")[0].cast("double") + F.element_at("f", F.col("d") + 2).cast("double"), 6).alias("probe"))
-
-
 @over_solve("SELECT problem_id, ordinal, CASE WHEN ordinal < 3 AND n_solved <= 3 THEN solved WHEN ordinal >= 3 AND n_solved >= 4 THEN solved ELSE 0 END AS target FROM solve JOIN per USING (problem_id)")
 def router_multihot_target(spark, sf):
-    s = solve(spark, sf)
-    t = s.join(relation.n_solved(s), "problem_id")
-    low, high = (F.col("ordinal") < 3) & (F.col("n_solved") <= 3), (F.col("ordinal") >= 3) & (F.col("n_solved") >= 4)
-    return t.select("problem_id", "ordinal", F.when(low | high, F.col("solved")).otherwise(0).alias("target"))
+    return features.multihot_target(solve(spark, sf), F.col("ordinal") < 3, 3, 4)
 
 
 @query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x WHERE vec_id % 5 <> 0 GROUP BY ALL),
   d AS (SELECT x.vec_id, c.label, round(sum((v - m) * (v - m)), 6) AS d FROM x JOIN c ON x.i = c.i GROUP BY ALL) SELECT vec_id, label AS routed FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, label) = 1""")
 def nearest_centroid_route(spark, sf):
-    e = table(spark, sf, "embeddings")
-    x = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    means = x.where("vec_id % 5 <> 0").groupBy("label", "i").agg(F.avg("v").alias("m"))
-    # one row for each label: the classes are few, whatever the number of vectors
-    centroids = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select(F.col("label").alias("routed"), F.col("c.m").alias("m"))
-    far = F.aggregate(F.zip_with("embedding", "m", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, y: s + y)
-    w = e.select("vec_id", "embedding").join(centroids).groupBy("vec_id").agg(F.min(F.struct(F.round(far, 6).alias("d"), "routed")).alias("b"))
-    return w.select("vec_id", "b.routed")
+    return features.nearest_centroid(table(spark, sf, "embeddings"), F.col("vec_id") % 5 != 0, "label", "vec_id", "embedding")
 
 
 @query("""WITH g AS (SELECT a.lang AS gold, b.lang AS pred FROM (SELECT DISTINCT lang FROM documents) a, (SELECT DISTINCT lang FROM documents) b), r AS (SELECT lang AS gold, CASE WHEN n_chars % 3 = 0 THEN 'en' ELSE lang END AS pred FROM documents),
@@ -436,11 +363,6 @@ def holdout_semijoin(spark, sf):
     return joins.holdout(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id")
 
 
-@query("SELECT doc_id FROM documents")
-def holdout_semijoin_fallback(spark, sf):
-    return joins.holdout(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select((-F.col("doc_id") - 1).alias("doc_id")), "doc_id")
-
-
 @query("SELECT r.range AS ordinal, i.item_id, 'e' || r.range AS expert_id FROM benchmark i, range(6) r")
 def fanout_cross(spark, sf):
     return joins.fan_out(table(spark, sf, "benchmark").select("item_id"), roster(spark))
@@ -475,18 +397,6 @@ def single_label_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(F.size(labels) == 1, "single").otherwise("leftover").alias("part"))
 
 
-@query("SELECT p_partkey, array_to_string(list_distinct_in_order, '|') AS path FROM (SELECT p_partkey, CASE WHEN p_brand = p_type THEN ['Mathematics', p_brand] ELSE ['Mathematics', p_brand, p_type] END AS list_distinct_in_order FROM part)")
-def category_hierarchy(spark, sf):
-    path = F.concat(F.lit("Mathematics -> "), F.col("p_brand"), F.lit(" -> "), F.col("p_type"), F.lit(" -> "), F.col("p_brand"))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(X.category_path(path), "|").alias("path"))
-
-
-@query("SELECT doc_id, CASE source WHEN 'src1' THEN 'qasc' WHEN 'src2' THEN 'lbox' WHEN 'src3' THEN 'lcb' ELSE 'asserts' END AS kind FROM documents")
-def scoring_kind_case(spark, sf):
-    name = F.when(F.col("source") == "src1", "qasc").when(F.col("source") == "src2", "lbox").when(F.col("source") == "src3", "livecodebench").otherwise(F.col("source"))
-    return table(spark, sf, "documents").select("doc_id", X.scoring_kind(name).alias("kind"))
-
-
 # --- text ---------------------------------------------------------------------------------
 
 _PUNCT = "'[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]'"
@@ -496,17 +406,11 @@ def _norm(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({x}), {_PUNCT}, '', 'g'), '\\s+', ' ', 'g'))"
 
 
-
 @query(f"SELECT item_id, {_norm('text')} AS text FROM benchmark")
 def normalize_text(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", X.normalize(F.col("text")).alias("text"))
 
 
-@query(f"SELECT item_id, ({_norm('text')} = {_norm('upper(text)')})::INT::DOUBLE AS em FROM benchmark")
-def exact_match(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", X.exact_match(F.col("text"), F.upper("text")).alias("em"))
-
-
 @query(f"""WITH a AS (SELECT conv_id, turn, string_split({_norm('text')}, ' ') AS x, string_split(lead({_norm('text')}) OVER (PARTITION BY conv_id ORDER BY turn), ' ') AS y FROM conversations),
   t AS (SELECT conv_id, turn, list_filter(x, lambda s: s <> '') AS x, list_filter(y, lambda s: s <> '') AS y FROM a WHERE y IS NOT NULL),
   ux AS (SELECT conv_id, turn, unnest(x) AS w FROM t), uy AS (SELECT conv_id, turn, unnest(y) AS w FROM t),
@@ -524,107 +428,16 @@ def numerical_match(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.numerical_match(F.format_number("l_discount", 2), F.format_number("l_tax", 2)).alias("m"))
 
 
-@query("""SELECT page_id, 'x' || page_id AS answer FROM pages""")
-def strip_thinking(spark, sf):
-    raw = F.concat(F.lit("<think>a\nb</think> \n x"), F.col("page_id").cast("string"), F.lit(" \n<think>again</think>"))
-    return table(spark, sf, "pages").select("page_id", X.strip_thinking(raw).alias("answer"))
-
-
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'D' END AS letter FROM documents")
-def extract_option_letter(spark, sf):
-    raw = F.when(F.col("doc_id") % 4 == 0, "(A) one (B) two\nFinal answer: B").when(F.col("doc_id") % 4 == 1, "it is (A) or rather (C)").when(F.col("doc_id") % 4 == 2, "so:\n D.\n").otherwise("none")
-    return table(spark, sf, "documents").select("doc_id", X.option_letter(raw).alias("letter"))
-
-
 @query("SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name, '[\"''`“”‘’]', '', 'g'), '[\\s·ㆍ・\\-()\\[\\]{}.,:;，。]', '', 'g')) AS name FROM part")
 def lbox_normalize(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.legal_plain(F.col("p_name")).alias("name"))
 
 
-@query("SELECT p_partkey, (p_size % 2 = 0) AS same FROM part")
-def set_equality_answer(spark, sf):
-    a = F.array(F.col("p_name"), F.col("p_brand"), F.col("p_name"))
-    b = F.when(F.col("p_size") % 2 == 0, F.array(F.col("p_brand"), F.col("p_name"))).otherwise(F.array(F.col("p_brand")))
-    return table(spark, sf, "part").select("p_partkey", X.same_set(a, b).alias("same"))
-
-
 @query(r"""SELECT conv_id, turn, upper(coalesce(regexp_extract_all(text, '(?i)(?:final\s+answer|answer|choice|option)[ \t]*(?:is|:)?[ \t]*\(?[ \t]*([A-H])[ \t]*\)?', 1)[-1], regexp_extract_all(text, '(?m)^\s*\(?\s*([A-H])\s*\)?\s*(?:[.)])?\s*$', 1)[-1], regexp_extract_all(text, '\(([A-H])\)', 1)[-1])) AS letter FROM conversations WHERE text IS NOT NULL""")
 def option_letter_in_turns(spark, sf):
     return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", X.option_letter(F.col("text")).alias("letter"))
 
 
-@query("SELECT p_partkey, p_size % 3 = 0 AS same, '도로교통법제' || p_size || '조' || CASE WHEN p_size % 3 = 1 THEN ',형법제1조' ELSE '' END AS found FROM part")
-def statute_answers(spark, sf):
-    gold = F.array(F.concat(F.lit("도로교통법 제"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 2, "항").otherwise("조")))
-    said = F.concat(F.lit("<think>민법 제9조</think> 도로교통법 제 "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 1, "조, 형법 제1조").otherwise("조"), F.lit(" 위반"))
-    return table(spark, sf, "part").select("p_partkey", X.statutes_match(said, gold).alias("same"), F.array_join(X.statutes(said, gold), ",").alias("found"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '사기' || c_custkey ELSE '절도 ' || c_custkey END AS name FROM customer")
-def case_name_answers(spark, sf):
-    key = F.col("c_custkey").cast("string")
-    said = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("죄명: 상해\n정답 : '사기"), key, F.lit("'입니다."))).otherwise(F.concat(F.lit("생각\n정답은 절도 "), key, F.lit("이다")))
-    return table(spark, sf, "customer").select("c_custkey", X.case_name(said).alias("name"))
-
-
-@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN event_id % 120 IN (9, 10) OR event_id % 120 BETWEEN 90 AND 100 WHEN user_id % 3 = 1 THEN event_id % 2 = 0 ELSE false END AS stops FROM events")
-def refine_may_stop(spark, sf):
-    k = F.col("user_id") % 3
-    said = F.when(k == 0, F.concat(F.lit("rating: "), (F.col("event_id") % 120).cast("string"))).when(k == 1, F.when(F.col("event_id") % 2 == 0, "Perfect, NO ERRORS").otherwise("perfect")).otherwise("excellent, flawless, one bug")
-    return table(spark, sf, "events").select("event_id", (X.may_stop(said)).alias("stops"))
-
-
-@query("""SELECT CASE doc_id % 7 WHEN 0 THEN 'py2_syntax' WHEN 1 THEN 'tab_error' WHEN 2 THEN 'java_ref' WHEN 3 THEN 'syntax_other' WHEN 4 THEN 'runtime_error' WHEN 5 THEN 'timeout' ELSE 'PASS' END AS kind, source, count(*) AS n FROM documents GROUP BY ALL""")
-def failure_census(spark, sf):
-    k = (F.col("doc_id") % 7).cast("int") + 1
-    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), k)
-    d = table(spark, sf, "documents").select("source", pick(*["runtime_error"] * 5, "timeout", "accepted").alias("s"), pick("SyntaxError: a", "TabError", "boom", "SyntaxError: b", "KeyError", "", "").alias("e"), pick("print 1", "x", "import java.util", "x", "x", "x", "x").alias("c"))
-    return d.groupBy(X.failure_kind(F.col("s"), F.col("e"), F.col("c")).alias("kind"), "source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'math' WHEN lang = 'de' THEN 'lbox' WHEN lang = 'fr' THEN 'qasc' ELSE 'coding' END AS family FROM documents")
-def task_family_case(spark, sf):
-    dataset = F.when(F.col("lang") == "en", "BigMath").when(F.col("lang") == "fr", "qasc").otherwise("mbpp")
-    domain = F.when(F.col("lang") == "de", "Legal").when(F.col("lang") == "en", "lbox")
-    return table(spark, sf, "documents").select("doc_id", X.task_family(dataset, domain).alias("family"))
-
-
-@query(r"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'class Solution:' || chr(10) || chr(9) || 'def f(self, a, b):' || chr(10) || chr(9) || chr(9) || '# complete this function' || chr(10) || chr(9) || chr(9) WHEN 1 THEN 'def f(x, y=' || p_size || '):' || chr(10) || chr(9) || '# complete this function' || chr(10) || chr(9) END AS stub FROM part""")
-def starter_code_stub(spark, sf):
-    k = F.col("p_size") % 3
-    code = F.when(k == 1, F.concat(F.lit("import os\ndef f (x, y="), F.col("p_size").cast("string"), F.lit("):\n    return x"))).otherwise("def g(x): pass")
-    mode = F.when(k == 0, "gfg_function").otherwise("function_call")
-    return table(spark, sf, "part").select("p_partkey", X.starter_code(mode, F.lit("f"), F.array(F.lit("a"), F.lit("b")), code).alias("stub"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, abs(l_quantity - (l_quantity + l_tax)) <= greatest(0.05 * greatest(abs(l_quantity), abs(l_quantity + l_tax)), 1e-6) AS close, l_linenumber % 2 = 0 AS exact, true AS tokens, l_linenumber % 3 <> 1 AS folded FROM lineitem""")
-def output_comparison(spark, sf):
-    n = F.col("l_linenumber")
-    q = F.concat(F.lit("ok "), F.col("l_quantity").cast("string"))
-    t = F.concat(F.lit("ok  "), (F.col("l_quantity") + F.col("l_tax")).cast("string"), F.lit("\n"))
-    a, b = F.lit("Yes 1 \r\nno\n"), F.when(n % 2 == 0, "Yes 1\nno").otherwise("Yes  1\nno")
-    c = F.when(n % 3 == 1, "yes 2\nNO").otherwise("yes 1\nNO")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.outputs_match(q, t, "numeric_tolerance", rel=0.05).alias("close"), X.outputs_match(a, b, "exact").alias("exact"), X.outputs_match(a, b).alias("tokens"), X.outputs_match(a, c, "case_insensitive").alias("folded"))
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '\\frac{' || o_custkey || '}{2}' WHEN 1 THEN o_custkey::VARCHAR ELSE 'just ' || o_custkey END AS answer FROM orders")
-def math_answers(spark, sf):
-    k, c = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
-    said = F.when(k == 0, F.concat(F.lit("Final Answer: 1\n\\boxed{0} so \\boxed{\\frac{"), c, F.lit("}{2}} \\boxed{"))).when(k == 1, F.concat(F.lit("<think>\\boxed{3}</think>**final answer: "), c, F.lit("**\nbye"))).otherwise(F.concat(F.lit(" just "), c))
-    return table(spark, sf, "orders").select("o_orderkey", extract.column(extract.math_answer)(said).alias("answer"))
-
-
-@query("SELECT n_nationkey::VARCHAR AS id, n_nationkey % 4 = 0 AS passed, CASE n_nationkey % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'wrong_answer' WHEN 2 THEN 'runtime_error' ELSE 'unsupported' END AS status, CASE n_nationkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_passed, 2 AS n_total FROM nation")
-def graded_programs(spark, sf):
-    """Functions that double a number, are right for 0 only, raise, and have no entry point."""
-    k = (F.col("n_nationkey") % 4).cast("int") + 1
-    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), k)
-    cases = '[{"input": {"value": {"args": ["0"]}}, "expected_output": {"value": ["0"]}}, {"input": {"value": {"args": ["2"]}}, "expected_output": {"value": ["4"]}}]'
-    spec = '{"eval_mode": "function_call", "entry_point": "f", "timeout_seconds": 20}'
-    rows = table(spark, sf, "nation").select("n_nationkey", pick(spec, spec, spec, '{"eval_mode": "function_call"}').alias("spec"), pick("class Solution:\n    def f(self, x): return 2 * x", "def f(x): return x", "def f(x): return 1 / 0", "").alias("code"), F.lit(cases).alias("cases"))
-    return grading.graded(rows, "n_nationkey", "spec", "code", "cases")
-
-
 @over_solve("SELECT round(avg(m), 9) AS expected FROM (SELECT avg(solved) AS m FROM solve GROUP BY expert_id)")
 def random_route_expectation(spark, sf):
     return coverage.random_route(solve(spark, sf))
@@ -666,36 +479,6 @@ def contest_window_filter(spark, sf):
     return table(spark, sf, "orders").where("o_orderdate between date '1995-01-01' and date '1996-12-31' and o_orderstatus = 'F'").select("o_orderkey")
 
 
-# --- retrieval ----------------------------------------------------------------------------
-
-_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda s: length(s) > 2)"
-_TF = f"""pool AS (SELECT id, term, count(*) AS tf FROM (SELECT item_id AS id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
-  n AS (SELECT count(DISTINCT id) AS n FROM pool), idf AS (SELECT term, count(*) AS df, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM pool, n GROUP BY term)"""
-_SCORES = f"""{_TF}, q AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL),
-  pw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM pool JOIN idf USING (term)),
-  qw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM q JOIN idf USING (term)),
-  s AS (SELECT qw.id AS query, pw.id AS id, round(sum(qw.w * pw.w), 9) AS score FROM qw JOIN pw USING (term) GROUP BY ALL)"""
-
-
-@query(f"WITH {_TF} SELECT term, df, round(idf, 9) AS idf FROM idf")
-def tfidf_idf(spark, sf):
-    return scores.idf(scores.terms(table(spark, sf, "benchmark"), "item_id", "text")).withColumn("idf", F.round("idf", 9))
-
-
-@query(f"WITH {_SCORES} SELECT query, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 3")
-def tfidf_topk(spark, sf):
-    pool, q = scores.terms(table(spark, sf, "benchmark"), "item_id", "text"), scores.terms(table(spark, sf, "documents"), "doc_id", "text")
-    return scores.retrieve(q, pool, 3).select("query", F.round("score", 6).alias("score"), "rank")
-
-
-@query(f"""WITH {_SCORES}, g AS (SELECT *, id % 5 AS grp FROM s QUALIFY row_number() OVER (PARTITION BY query, id % 5 ORDER BY score DESC, id) = 1)
-  SELECT query, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM g QUALIFY rank <= 3""")
-def retrieval_one_per_expert(spark, sf):
-    b = table(spark, sf, "benchmark")
-    pool, q = scores.terms(b, "item_id", "text"), scores.terms(table(spark, sf, "documents"), "doc_id", "text")
-    return scores.retrieve(q, pool, 3, b.select(F.col("item_id").alias("id"), (F.col("item_id") % 5).alias("grp"))).select("query", F.round("score", 6).alias("score"), "rank")
-
-
 # --- pass@k and metrics -------------------------------------------------------------------
 
 _EACH = "each AS (SELECT user_id, any_value(user_id % 3) AS g, count(*) AS n, sum((value > 50)::INT) AS c FROM events GROUP BY user_id)"
@@ -734,36 +517,29 @@ def judge_or_combine(spark, sf):
 
 @query("SELECT source, lang, count(*) AS n, round(avg((n_chars < 500)::INT), 9) AS broken_rate FROM documents GROUP BY ALL")
 def census_by_platform(spark, sf):
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("n_chars") < 500).cast("int")), 9).alias("broken_rate"))
+    return scores.census(table(spark, sf, "documents"), ["source", "lang"], F.col("n_chars") < 500)
 
 
 @query("SELECT source, count(*) FILTER (lang = 'en') AS supported, count(*) FILTER (lang IN ('de', 'fr')) AS manual, count(*) FILTER (lang = 'xx') AS unsupported FROM documents GROUP BY source")
 def exec_support_report(spark, sf):
     mode = F.when(F.col("lang") == "en", "supported").when(F.col("lang").isin("de", "fr"), "manual").otherwise("other")
-    p = table(spark, sf, "documents").select("source", mode.alias("m")).groupBy("source").pivot("m", ["supported", "manual", "unsupported"]).agg(F.count(F.lit(1)))
-    return p.na.fill(0)
+    return scores.support_report(table(spark, sf, "documents"), "source", mode, ["supported", "manual", "unsupported"])
 
 
 @query("SELECT json_extract_string(props, '$.k')::INT % 5 AS tag, count(*) AS n FROM events GROUP BY tag")
 def tag_counts(spark, sf):
-    return table(spark, sf, "events").select((F.get_json_object("props", "$.k").cast("int") % 5).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return scores.tag_counts(table(spark, sf, "events"), F.get_json_object("props", "$.k").cast("int") % 5)
 
 
 @over_solve(""", p AS (SELECT * FROM solve QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY conf DESC, ordinal) = 1)
   SELECT coalesce(lang, 'all') AS lang, coalesce(expert_id, 'all') AS expert_id, count(*) AS n, round(avg(solved), 9) AS accuracy FROM p GROUP BY GROUPING SETS ((), (lang), (expert_id))""")
 def routed_summary(spark, sf):
-    p = ranking.top_k(solve(spark, sf), "conf", 1)
-    g = p.groupingSets([[], ["lang"], ["expert_id"]], "lang", "expert_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("solved"), 9).alias("accuracy"))
-    return g.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("expert_id", F.lit("all")).alias("expert_id"), "n", "accuracy")
+    return ranking.routed_summary(ranking.top_k(solve(spark, sf), "conf", 1), "lang")
 
 
 # --- logs ---------------------------------------------------------------------------------
 
 
-def over_log(sql: str):
-    return query(f"WITH RECURSIVE {LOG} {sql}")
-
-
 @over_log("SELECT expert_id, step, war::BIGINT AS war, count(*) OVER w AS seen, round(sum(war) OVER w / (count(*) OVER w * batch_n), 9) AS rate FROM log WINDOW w AS (PARTITION BY expert_id ORDER BY step ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)")
 def unique_rate_window(spark, sf):
     return evolog.unique_rate(log(spark, sf), 8).select("expert_id", "step", "war", "seen", "rate")
@@ -868,8 +644,7 @@ def recurrence_top12(spark, sf):
 
 @over_log(f"{_GATE} SELECT decision, count(*) AS n, round(avg(u_add), 6) AS mean_u_add, round(avg(u_delete), 6) AS mean_u_delete FROM g GROUP BY decision")
 def action_counts(spark, sf):
-    g = evolog.gate(_steps(spark, sf), 0.05, 0.5, 100)
-    return g.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("u_add"), 6).alias("mean_u_add"), F.round(F.avg("u_delete"), 6).alias("mean_u_delete"))
+    return evolog.action_summary(evolog.gate(_steps(spark, sf), 0.05, 0.5, 100))
 
 
 # --- events as a stream would see them ----------------------------------------------------

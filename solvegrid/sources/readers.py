@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import scoring_kind
-
 ITEM = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "instruction", "ground_truth", "domain", "dataset", "scoring_kind")])
 
 
@@ -15,19 +13,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def jsonl(spark: SparkSession, path: str, schema: T.StructType = ITEM, tolerant: bool = False) -> DataFrame:
-    """One record a line. Strict: a malformed line fails. Tolerant: such lines are dropped."""
+def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType = ITEM, tolerant: bool = False) -> DataFrame:
+    """One record a line. Strict: a malformed line fails. Tolerant: such lines are dropped; malformed() gives them."""
     if not tolerant:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    bad = "_corrupt"
-    full = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    return rows.where(F.col(bad).isNull()).drop(bad)
+    return _permissive(spark, path, schema).where(F.col(_BAD).isNull()).drop(_BAD)
+
+
+_BAD = "_corrupt"
+
+
+def _permissive(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
+
+
+def malformed(spark: SparkSession, path: str | list[str], schema: T.StructType = ITEM) -> DataFrame:
+    """file, line, n: the lines that a tolerant read drops, and how often each file has them; blank lines aren't records."""
+    # the text is read, since a scan for the corrupt column alone isn't allowed
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    read = F.from_json("line", T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    return lines.withColumn("__bad", read[_BAD]).where("__bad is not null").groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-def items(spark: SparkSession, path: str, dataset: str, default_domain: str = "coding") -> DataFrame:
-    rows = jsonl(spark, path)
-    return rows.withColumn("domain", F.coalesce("domain", F.lit(default_domain))).withColumn("dataset", F.lit(dataset)).withColumn("scoring_kind", scoring_kind(F.lit(dataset)))
+def files(spark: SparkSession, path: str, suffixes: tuple[str, ...], without: tuple[str, ...] = ()) -> list[str]:
+    """The files of a folder with one of the suffixes, but for those that end in one of the others, in order; a file is itself."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(place).isFile():
+        return [path]
+    names = sorted(str(x.getPath().getName()) for x in fs.listStatus(place) if x.isFile())
+    return [f"{path}/{n}" for n in names if n.endswith(suffixes) and not (without and n.endswith(without))]
 
 
 def with_file_id(rows: DataFrame, pattern: str, into: str = "file_id") -> DataFrame:
@@ -48,8 +66,13 @@ def append_new(rows: DataFrame, to: str, key: str = "id") -> None:
 
 
 def label_package(binned: DataFrame, mapping: DataFrame, to: str) -> None:
-    """labels (JSON), mapping (JSON and CSV) and a summary, each in its own folder."""
+    """labels (JSON), mapping (JSON and CSV), solves of each expert, and a summary with counts of each expert, each in its own folder."""
     binned.write.mode("overwrite").json(f"{to}/labels")
     mapping.write.mode("overwrite").json(f"{to}/mapping")
     mapping.write.mode("overwrite").option("header", True).csv(f"{to}/mapping_csv")
+    pairs = binned.select("problem_id", F.explode("per_expert").alias("expert_id", "solved"))
+    pairs.where("solved = 1").select("expert_id", "problem_id").write.mode("overwrite").json(f"{to}/solves")
+    each = pairs.groupBy("expert_id").agg(F.sum("solved").cast("long").alias("solved"), F.count(F.lit(1)).alias("total"))
+    each = each.withColumn("train_pass_at_1", F.round(F.col("solved") * 100 / F.col("total"), 2))
+    each.write.mode("overwrite").json(f"{to}/experts")
     binned.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_solved") > 0).alias("union_ub")).write.mode("overwrite").json(f"{to}/summary")
