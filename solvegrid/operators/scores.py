@@ -64,20 +64,15 @@ def idf(pool: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def weighted(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """id, term, w of length 1 over the pool's vocabulary."""
-    own = rows.join(weights.select("term", "idf"), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = own.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return own.join(norm, "id").select("id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("w"))
-
-
 #: Queries and pool rows that meet in one task.
 QUERIES, POOL = 2048, 8192
 
 
-def _sparse(rows: DataFrame, into: str) -> DataFrame:
-    """id and its terms as an array of (hash, weight)."""
-    return rows.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "w")).alias(into))
+def vectors(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """id, terms: a vector of length 1 over the pool's vocabulary, as an array of (h, a hash of the term; w)."""
+    own = rows.join(weights.select("term", "idf"), "term").select("id", F.xxhash64("term").alias("h"), (F.col("tf") * F.col("idf")).alias("w"))
+    whole = own.groupBy("id").agg(F.collect_list(F.struct("h", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return whole.select("id", F.transform("t", lambda x: F.struct(x["h"].alias("h"), F.when(F.col("norm") > 0, x["w"] / F.col("norm")).otherwise(x["w"]).alias("w"))).alias("terms"))
 
 
 def _meet(left: pa.Table, right: pa.Table, k: int, grouped: bool) -> pa.Table:
@@ -97,37 +92,40 @@ def _meet(left: pa.Table, right: pa.Table, k: int, grouped: bool) -> pa.Table:
         lo, hi = np.searchsorted(h, q, "left"), np.searchsorted(h, q, "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.round(np.bincount(row[at], weights=w[at] * np.repeat(qw, n), minlength=len(ids)), 9)
+        whole = np.bincount(row[at], weights=w[at] * np.repeat(qw, n), minlength=len(ids))
+        score = np.round(whole, 9)
         hit = np.flatnonzero(np.bincount(row[at], minlength=len(ids)))
         best = hit[np.lexsort((ids[hit], -score[hit]))]
         if grouped:
             best = best[np.sort(np.unique(group[best], return_index=True)[1])]
         best = best[:k]
-        out.append((np.full(len(best), query), ids[best], score[best], group[best]))
-    parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4)]
-    return pa.table({"query": parts[0].astype(np.int64), "id": parts[1].astype(np.int64), "score": parts[2].astype(np.float64), "grp": parts[3].astype(np.int64)})
+        out.append((np.full(len(best), query), ids[best], score[best], np.round(whole[best], 6), group[best]))
+    parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(5)]
+    return pa.table({"query": parts[0].astype(np.int64), "id": parts[1].astype(np.int64), "by": parts[2].astype(np.float64), "score": parts[3].astype(np.float64), "grp": parts[4].astype(np.int64)})
 
 
-def retrieve(queries: DataFrame, pool: DataFrame, k: int, group: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, pool: DataFrame, k: int, group: DataFrame | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """query, id, score, rank: the k best of the pool by cosine, exactly; at most one of each group, if given.
 
     Blocks of queries meet blocks of the pool once each, dealt by hash, whatever terms they share.
-    Their numbers come from a count of both sides. Ids and groups are whole numbers; only rows that
-    share a term with the query are found.
+    Their numbers follow from sizes, how many queries and pool rows there are at most; without, both
+    are counted. Scores have six decimals; those that agree in nine are equal, and the smaller id comes
+    first. Ids and groups are whole numbers; only rows that share a term with the query are found.
     """
     weights, grouped = idf(pool), group is not None
-    p, q = _sparse(weighted(pool, weights), "terms"), _sparse(weighted(queries, weights), "terms").withColumnRenamed("id", "query")
+    p, q = vectors(pool, weights), vectors(queries, weights).withColumnRenamed("id", "query")
     if group is not None:
         p = p.join(group.select("id", F.col("grp").cast("long").alias("grp")), "id")
-    n_pool, n_queries = (d.agg(F.countDistinct("id")).first()[0] for d in (pool, queries))
+    n_queries, n_pool = sizes or [d.agg(F.countDistinct("id")).first()[0] for d in (queries, pool)]
     blocks, groups = max(1, -(-n_pool // POOL)), max(1, -(-n_queries // QUERIES))
     q = q.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(groups))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     p = p.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    found = q.groupBy("g", "c").cogroup(p.groupBy("g", "c")).applyInArrow(lambda a, b: _meet(a, b, k, grouped), "query long, id long, score double, grp long")
-    order = [F.desc("score"), "id"]
+    found = q.groupBy("g", "c").cogroup(p.groupBy("g", "c")).applyInArrow(lambda a, b: _meet(a, b, k, grouped), "query long, id long, by double, score double, grp long")
+    order = [F.desc("by"), "id"]
     if group is not None:
         found = found.withColumn("__g", F.row_number().over(Window.partitionBy("query", "grp").orderBy(*order))).where("__g = 1").drop("__g")
-    return found.drop("grp").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.select("query", "id", "score", "rank")
 
 
 def census(rows: DataFrame, by: list[str], broken: Column) -> DataFrame:

@@ -499,7 +499,7 @@ _TF = f"""pool AS (SELECT id, term, count(*) AS tf FROM (SELECT item_id AS id, u
 _SCORES = f"""{_TF}, q AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL),
   pw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM pool JOIN idf USING (term)),
   qw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM q JOIN idf USING (term)),
-  s AS (SELECT qw.id AS query, pw.id AS id, round(sum(qw.w * pw.w), 9) AS score FROM qw JOIN pw USING (term) GROUP BY ALL)"""
+  s AS (SELECT qw.id AS query, pw.id AS id, round(sum(qw.w * pw.w), 9) AS nine, round(sum(qw.w * pw.w), 6) AS score FROM qw JOIN pw USING (term) GROUP BY ALL)"""
 
 
 @query(f"WITH {_TF} SELECT term, df, round(idf, 9) AS idf FROM idf")
@@ -507,18 +507,18 @@ def tfidf_idf(spark, sf):
     return scores.idf(scores.terms(table(spark, sf, "benchmark"), "item_id", "text")).withColumn("idf", F.round("idf", 9))
 
 
-@query(f"WITH {_SCORES} SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 3")
+@query(f"WITH {_SCORES} SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY nine DESC, id) AS rank FROM s QUALIFY rank <= 3")
 def tfidf_topk(spark, sf):
-    pool, q = scores.terms(table(spark, sf, "benchmark"), "item_id", "text"), scores.terms(table(spark, sf, "documents"), "doc_id", "text")
-    return scores.retrieve(q, pool, 3).select("query", "id", F.round("score", 6).alias("score"), "rank")
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    return scores.retrieve(scores.terms(d, "doc_id", "text"), scores.terms(b, "item_id", "text"), 3, sizes=(d.count(), b.count()))
 
 
-@query(f"""WITH {_SCORES}, g AS (SELECT *, id % 5 AS grp FROM s QUALIFY row_number() OVER (PARTITION BY query, id % 5 ORDER BY score DESC, id) = 1)
-  SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM g QUALIFY rank <= 3""")
+@query(f"""WITH {_SCORES}, g AS (SELECT *, id % 5 AS grp FROM s QUALIFY row_number() OVER (PARTITION BY query, id % 5 ORDER BY nine DESC, id) = 1)
+  SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY nine DESC, id) AS rank FROM g QUALIFY rank <= 3""")
 def retrieval_one_per_expert(spark, sf):
-    b = table(spark, sf, "benchmark")
-    pool, q = scores.terms(b, "item_id", "text"), scores.terms(table(spark, sf, "documents"), "doc_id", "text")
-    return scores.retrieve(q, pool, 3, b.select(F.col("item_id").alias("id"), (F.col("item_id") % 5).alias("grp"))).select("query", "id", F.round("score", 6).alias("score"), "rank")
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    experts = b.select(F.col("item_id").alias("id"), (F.col("item_id") % 5).alias("grp"))
+    return scores.retrieve(scores.terms(d, "doc_id", "text"), scores.terms(b, "item_id", "text"), 3, experts, sizes=(d.count(), b.count()))
 
 
 # --- features -----------------------------------------------------------------------------
