@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal, InvalidOperation
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import extract, sandbox
 
@@ -252,3 +253,65 @@ def graded(rows: DataFrame, id_col: str, spec_col: str, code_col: str, cases_col
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([d[k] for d in done], kind) for k, kind in (("passed", pa.bool_()), ("status", pa.string()), ("n_passed", pa.int32()), ("n_total", pa.int32())))], ["id", "passed", "status", "n_passed", "n_total"])
 
     return rows.selectExpr(f"cast(`{id_col}` as string) as id", f"`{spec_col}`", f"`{code_col}`", f"`{cases_col}`").mapInArrow(each, "id string, passed boolean, status string, n_passed int, n_total int")
+
+
+def _reference(listed: object) -> str | None:
+    """The code of the first solution in Python that is known to be right."""
+    good = (s for s in (listed if isinstance(listed, list) else []) if isinstance(s, dict) and s.get("is_known_correct") and s.get("language") == "python")
+    return next((str(s.get("code") or "") for s in good), None)
+
+
+def consistent(spec: object, cases: object, references: object, platform: str) -> tuple[str, str | None]:
+    """(category, specification to keep as JSON): whether a problem's own reference passes its own cases.
+
+    Problems whose cases are written as name = value are recovered as calls of the reference's best
+    method, if it then passes. Categories: no_ref, kept, gfg_recovered, gfg_unrecovered, drop_<status>.
+    """
+    code = _reference(references)
+    if not code or not cases:
+        return "no_ref", None
+    spec = spec if isinstance(spec, dict) else {}
+    if "geeksforgeeks" in platform.lower() and spec.get("eval_mode") == "stdin_stdout":
+        if not _readable(spec, cases):
+            return "gfg_unrecovered", None
+        picked = extract.best_method(code, extract.pseudo_input(str(_side(cases[0], "input") or "")))
+        if picked is None:
+            return "gfg_unrecovered", None
+        spec = spec | {"eval_mode": "gfg_function", "entry_point": picked[0], "gfg_params": picked[1]}
+        return ("gfg_recovered", json.dumps(spec, sort_keys=True)) if grade(spec, code, cases)["passed"] else ("gfg_unrecovered", None)
+    got = grade(spec, code, cases)
+    return ("kept", json.dumps(spec, sort_keys=True)) if got["passed"] else (f"drop_{got['status'] or 'fail'}", None)
+
+
+def self_consistent(rows: DataFrame, id_col: str = "id", spec_col: str = "eval_spec", cases_col: str = "test_cases", references_col: str = "reference_solutions", platform_col: str = "source_platform") -> DataFrame:
+    """id, category, eval_spec: eval_spec is null where the problem isn't kept."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [consistent(loads(s or "{}"), loads(c or "[]"), loads(r or "[]"), p or "") for s, c, r, p in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], ["id", "category", "eval_spec"])
+
+    own = rows.selectExpr(f"cast(`{id_col}` as string) as id", *[f"`{c}`" for c in (spec_col, cases_col, references_col, platform_col)])
+    return own.mapInArrow(each, "id string, category string, eval_spec string")
+
+
+def asked(ask: Callable[[list[str]], list[str]], parse: Callable[[str], str] = extract.verdict) -> Callable[[Column], Column]:
+    """A column of prompts to struct of reply, parsed and error: a judge or tagger as a plug-in.
+
+    ask gets a batch of prompts and gives as many replies; a batch that fails has the error on each
+    of its rows, and no reply.
+    """
+    kind = pa.struct([("reply", pa.string()), ("parsed", pa.string()), ("error", pa.string())])
+
+    @F.arrow_udf("reply string, parsed string, error string")
+    def run(prompts: pa.Array) -> pa.Array:
+        listed = prompts.to_pylist()
+        given = [p for p in listed if p is not None]
+        try:
+            replies = iter(zip(given, ask(given), strict=True))
+            rows = [None if p is None else {"reply": (r := next(replies)[1]), "parsed": parse(r), "error": None} for p in listed]
+        except Exception as e:
+            rows = [None if p is None else {"reply": None, "parsed": None, "error": repr(e)} for p in listed]
+        return pa.array(rows, kind)
+
+    return run

@@ -75,25 +75,57 @@ def lives(log: DataFrame, most: int, floor: float | None = None, width: int = 1,
     return folded(own, ["expert_id"], "step", ["rate", "__full"], lambda: most, by_rate, "lives", pa.int32())
 
 
+#: Steps that make a part of a log; sums and places go over the parts, then within them.
+PART = 1024
+
+
+def _parts(df: DataFrame, order: str) -> DataFrame:
+    """df with __part and __r, its place from 0 by a column of whole numbers."""
+    placed = df.withColumn("__part", F.floor(F.col(order) / PART))
+    before = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for PART steps
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return placed.withColumn("__within", within).join(offsets, "__part").withColumn("__r", F.col("__before") + F.col("__within")).drop("__before", "__within")
+
+
 def centered_average(df: DataFrame, value: str, order: str, width: int) -> DataFrame:
-    """A moving average around each row; at the edges over the rows that there are."""
-    w = Window.orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return df.withColumn("smooth", F.round(F.avg(value).over(w), 9))
+    """A moving average around each row; at the edges over the rows that there are. order is a column of whole numbers.
+
+    Rows near the border of a part are lent to the part beside it.
+    """
+    back, ahead = width // 2, (width - 1) // 2
+    if width >= PART:
+        raise ValueError(f"a width below {PART} is needed")
+    part = lambda r: F.floor(r / PART)
+    lent = _parts(df, order).withColumn("__p", F.explode(F.array_distinct(F.array(part(F.col("__r")), part(F.col("__r") + back), part(F.col("__r") - ahead)))))
+    w = Window.partitionBy("__p").orderBy("__r").rowsBetween(-back, ahead)
+    return lent.withColumn("smooth", F.round(F.avg(value).over(w), 9)).where(F.col("__p") == part(F.col("__r"))).select(*df.columns, "smooth")
 
 
 def period(df: DataFrame, value: str, order: str) -> DataFrame:
-    """Rows by half the changes of sign around the mean, zeros left out; at least 1."""
-    every = Window.partitionBy()
-    sign = df.select(order, F.signum(F.round(F.col(value) - F.avg(value).over(every), 9)).alias("s"), F.count(F.lit(1)).over(every).alias("n"))
-    flips = sign.withColumn("t", F.when(F.col("s") != 0, F.col("s")))
-    flips = flips.where("t is not null").withColumn("flip", (F.col("t") != F.lag("t").over(Window.orderBy(order))).cast("int"))
-    got = flips.agg(F.coalesce(F.sum("flip"), F.lit(0)).alias("flips"), F.max("n").alias("n"))
+    """Rows by half the changes of sign around the mean, zeros left out; at least 1. order is a column of whole numbers."""
+    mean = df.agg(F.avg(value).alias("__mean"), F.count(F.lit(1)).alias("n"))
+    sign = df.join(F.broadcast(mean)).select(F.col(order).alias("o"), F.signum(F.round(F.col(value) - F.col("__mean"), 9)).alias("s")).where("s <> 0").withColumn("p", F.floor(F.col("o") / PART))
+    inner = sign.withColumn("flip", (F.col("s") != F.lag("s").over(Window.partitionBy("p").orderBy("o"))).cast("int"))
+    parts = inner.groupBy("p").agg(F.sum("flip").alias("flips"), F.min(F.struct("o", "s")).getField("s").alias("first"), F.max(F.struct("o", "s")).getField("s").alias("last"))
+    # a row for PART steps
+    border = (F.col("first") != F.lag("last").over(Window.partitionBy().orderBy("p"))).cast("int")
+    got = parts.withColumn("border", border).agg((F.coalesce(F.sum("flips"), F.lit(0)) + F.coalesce(F.sum("border"), F.lit(0))).alias("flips")).join(F.broadcast(mean))
     return got.select("flips", F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.lit(1), F.floor(F.col("flips") / 2)))).alias("period"))
 
 
 def churn(df: DataFrame) -> DataFrame:
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("step", F.sum(F.col("decision").isin("add", "swap").cast("int")).over(w).alias("adds"), F.sum(F.col("decision").isin("delete", "swap").cast("int")).over(w).alias("deletes"))
+    """step, adds, deletes: how many came and went up to each step."""
+    own = df.select("step", F.col("decision").isin("add", "swap").cast("int").alias("a"), F.col("decision").isin("delete", "swap").cast("int").alias("d")).withColumn("__part", F.floor(F.col("step") / PART))
+    before = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for PART steps
+    sums = own.groupBy("__part").agg(F.sum("a").alias("__a"), F.sum("d").alias("__d"))
+    offsets = sums.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__a", "__d")])
+    within = Window.partitionBy("__part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    out = own.withColumn("a", F.sum("a").over(within)).withColumn("d", F.sum("d").over(within)).join(offsets, "__part")
+    return out.select("step", (F.col("__a") + F.col("a")).alias("adds"), (F.col("__d") + F.col("d")).alias("deletes"))
 
 
 def epoch_starts(df: DataFrame) -> DataFrame:

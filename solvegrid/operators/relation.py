@@ -6,7 +6,7 @@ means not solved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,11 @@ def from_binned(binned: DataFrame, roster: DataFrame) -> DataFrame:
 def solve_index(solve: DataFrame) -> DataFrame:
     """expert_id, problem_id, solved: the index of each expert in long form, so no row grows with the problems."""
     return solve.select("expert_id", "problem_id", (F.col("solved") == 1).alias("solved"))
+
+
+def key_union(rows: DataFrame, keys: str, order: str) -> DataFrame:
+    """expert_id, place: the keys of all rows' arrays, once each, by first appearance."""
+    each = rows.select(order, F.posexplode(keys).alias("__i", "expert_id"))
+    first = each.groupBy("expert_id").agg(F.min(F.struct(order, "__i")).alias("__first"))
+    # a roster's keys: a handful of rows
+    return first.select("expert_id", (F.row_number().over(Window.partitionBy().orderBy("__first", "expert_id")) - 1).alias("place"))

@@ -89,10 +89,9 @@ def binned_round_trip(spark, sf):
     return relation.from_binned(b, roster(spark)).select("problem_id", "ordinal", "expert_id", "solved")
 
 
-@over_solve("SELECT expert_id, min(problem_id) AS first_problem FROM solve WHERE solved = 1 GROUP BY expert_id")
+@over_solve("""SELECT expert_id, row_number() OVER (ORDER BY f, o) - 1 AS place FROM (SELECT expert_id, min(problem_id) AS f, min(ordinal) AS o FROM solve WHERE solved = 1 GROUP BY expert_id)""")
 def expert_key_union(spark, sf):
-    b = relation.to_binned(solve(spark, sf))
-    return b.select("problem_id", F.explode("solved_by").alias("expert_id")).groupBy("expert_id").agg(F.min("problem_id").alias("first_problem"))
+    return relation.key_union(relation.to_binned(solve(spark, sf)), "solved_by", "problem_id").withColumn("place", F.col("place").cast("long"))
 
 
 def _sets(k: int) -> str:

@@ -238,6 +238,32 @@ def score_one_code(spark, sf):
     return scoring.score_one(rows, seconds=20.0).select("n_nationkey", "pass_score")
 
 
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN p_size % 4 = 0 WHEN 2 THEN true WHEN 3 THEN p_size = 7 ELSE false END AS same FROM part")
+def formula_equality(spark, sf):
+    """Fractions against decimals, floors, sums, roots and words that a size is written in."""
+    n, k = F.col("p_size"), F.col("p_partkey") % 5
+    text = lambda c: c.cast("string")
+    a = F.concat(F.lit("$\\frac{"), text(n), F.lit("}{4}$"))
+    floor = text(F.floor(n / 4).cast("int"))
+    other = F.when(k == 0, text(n / 4)).when(k == 1, floor).when(k == 2, F.concat(F.lit("x = "), floor, F.lit(" + \\dfrac{"), text(n % 4), F.lit("}{4}"))).when(k == 3, F.lit("\\sqrt{49}/4")).otherwise(F.lower("p_type"))
+    same = extract.column(lambda t: str(extract.equivalent(*t.split("\n"))))
+    return table(spark, sf, "part").select("p_partkey", (same(F.concat(a, F.lit("\n"), other)) == "True").alias("same"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_regionkey = 0 THEN 'no_ref' WHEN n_regionkey = 1 THEN 'gfg_recovered' WHEN n_regionkey = 2 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'kept' ELSE 'drop_wrong_answer' END WHEN n_regionkey = 3 THEN 'drop_unsupported' ELSE 'gfg_unrecovered' END AS category FROM nation")
+def self_consistent_references(spark, sf):
+    """Whether reference programs pass the cases that are made of the nations' numbers; those of one region are calls in disguise."""
+    n, r, text = F.col("n_nationkey"), F.col("n_regionkey"), F.col("n_nationkey").cast("string")
+    case = lambda a, b: F.concat(F.lit('[{"input": {"value": "'), a, F.lit('"}, "expected_output": {"value": "'), b, F.lit('"}}]'))
+    calls = case(F.concat(F.lit("k = "), text, F.lit(", arr[] = {1, 2}")), F.concat(text, F.lit(" 2")))
+    cases = F.when(r.isin(1, 4), calls).otherwise(case(text, (n - n % 2).cast("string")))
+    code = F.when(r == 1, "class Solution:\n    def helper(self): pass\n    def pair(self, k, arr): return [k, len(arr)]").when(r == 4, "def pair(q): return q").otherwise("print(int(input()))")
+    refs = F.when(r == 0, "[]").otherwise(F.to_json(F.array(F.struct(F.lit(True).alias("is_known_correct"), F.lit("python").alias("language"), code.alias("code")))))
+    spec = F.when(r == 3, '{"eval_mode": "manual"}').otherwise('{"eval_mode": "stdin_stdout", "timeout_seconds": 20}')
+    rows = table(spark, sf, "nation").select(text.alias("id"), spec.alias("eval_spec"), cases.alias("test_cases"), refs.alias("reference_solutions"), F.when(r.isin(1, 4), "GeeksForGeeks").otherwise("x").alias("source_platform"))
+    return grading.self_consistent(rows).select("id", "category")
+
+
 @query("SELECT event_id, value > 5.0 AS positive FROM events")
 def positive_scores(spark, sf):
     return table(spark, sf, "events").select("event_id", scoring.positive((F.col("value") - 5.0).cast("string")).alias("positive"))

@@ -76,3 +76,23 @@ def label_package(binned: DataFrame, mapping: DataFrame, to: str) -> None:
     each = each.withColumn("train_pass_at_1", F.round(F.col("solved") * 100 / F.col("total"), 2))
     each.write.mode("overwrite").json(f"{to}/experts")
     binned.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_solved") > 0).alias("union_ub")).write.mode("overwrite").json(f"{to}/summary")
+
+
+def summary(row: DataFrame, to: str) -> None:
+    """A run's figures as one JSON record in one file."""
+    row.coalesce(1).write.mode("overwrite").json(to)
+
+
+def report(rows: DataFrame, to: str, order: list[str] | None = None) -> None:
+    """A table of a report as one CSV file with a header, in order."""
+    (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").option("header", True).csv(to)
+
+
+def markdown(rows: DataFrame, order: list[str], most: int = 1000) -> str:
+    """A report's table as Markdown; more rows than a reader would look at are an error."""
+    got = rows.orderBy(*order).limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "/")
+    head = [f"| {' | '.join(rows.columns)} |", f"|{'-|' * len(rows.columns)}"]
+    return "\n".join([*head, *[f"| {' | '.join(map(cell, r))} |" for r in got]])

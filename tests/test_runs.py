@@ -298,3 +298,38 @@ def test_streams(spark, tmp_path):
     log.write.json(str(tmp_path / "log"))
     got = run(live.lives(spark.readStream.schema(log.schema).json(str(tmp_path / "log")), 3, 0.5), "lives", "append")
     assert sorted((r.step, r.lives) for r in got) == [(0, 2), (1, 1), (2, 2), (3, 3)]
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2.0, None), ("a", 1.005, "x|y")], "m string, v double, t string")
+    assert readers.markdown(rows, ["m"]) == "| m | v | t |\n|-|-|-|\n| a | 1.00 | x/y |\n| b | 2.00 |  |"
+    with pytest.raises(ValueError, match="more than 1"):
+        readers.markdown(rows, ["m"], 1)
+    readers.report(rows, str(tmp_path / "csv"), ["m"])
+    assert [r.m for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == ["a", "b"]
+    readers.summary(rows.limit(1), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 1
+    seen = spark.createDataFrame([(2, ["c", "a"]), (1, ["b", "c"])], "o long, k array<string>")
+    assert [r.expert_id for r in relation.key_union(seen, "k", "o").orderBy("place").collect()] == ["b", "c", "a"]
+
+
+def test_long_logs(spark):
+    import random
+
+    rnd = random.Random(1)
+    n = evolog.PART * 3 + 17
+    steps = sorted(rnd.sample(range(n * 2), n))
+    rows = [(s, rnd.randrange(9), rnd.choice(["add", "swap", "delete", "noop"])) for s in steps]
+    log = spark.createDataFrame(rows, "step long, size long, decision string")
+    for width in (1, 4, 7):
+        got = [r.smooth for r in evolog.centered_average(log, "size", "step", width).orderBy("step").collect()]
+        near = [[r[1] for r in rows[max(0, i - width // 2) : i + (width - 1) // 2 + 1]] for i in range(n)]
+        assert got == pytest.approx([sum(x) / len(x) for x in near])
+    adds = deletes = 0
+    for r, (step, _, took) in zip(evolog.churn(log).orderBy("step").collect(), rows, strict=True):
+        adds, deletes = adds + (took in ("add", "swap")), deletes + (took in ("delete", "swap"))
+        assert (r.step, r.adds, r.deletes) == (step, adds, deletes)
+    mean = sum(r[1] for r in rows) / n
+    signs = [r[1] > mean for r in rows if r[1] != mean]
+    flips = sum(a != b for a, b in zip(signs, signs[1:], strict=False))
+    assert evolog.period(log, "size", "step").first()[:] == (flips, max(1, n // max(1, flips // 2)))

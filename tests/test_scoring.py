@@ -116,3 +116,33 @@ def test_tables_and_repairs(one):
     assert one(prompts.repair(F.lit("{}"))) == "" and "runtime error" in one(prompts.repair(F.lit('{"error_code": -4}')))
     with pytest.raises(Exception, match="unknown error code"):
         one(prompts.repair(F.lit('{"error_code": -9}')))
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        (r"\frac{1}{2}", "0.5", True), ("1/2", r"$\dfrac12$", True), (r"2\sqrt{3}", r"\sqrt{12}", True), ("x^2-1", "(x-1)(x+1)", True), ("x^2-1", "(x-1)^2", False),
+        ("x = 7", "7", True), ("1,000", "1000", True), ("(1, 2)", "(1,2)", True), ("(1, 2)", "(2, 1)", False), (r"\{1, 2\}", r"\{2, 1\}", True), ("[1, 2)", "(1, 2)", False), (r"(-\infty, 3]", r"(-\infty, \frac{9}{3}]", True),
+        ("dog", "god", False), ("90^\\circ", "90", True), (r"\pi/2", r"\frac{\pi}{2}", True), ("3!", "6", True), ("2^{10}", "1024", True), (r"\sin^2 x+\cos^2 x", "1", True), ("a+b", "b+a", True), ("a", "b", False),
+        ("2^{9999999999}", "1", False), ("(" * 500 + "1" + ")" * 500, "1", False), ("1/0", "1/0", False), ("", "1", False), (r"\sqrt[3]{-8}", "-2", True), ("0.333", "1/3", False), ("5\\%", "5", True),
+    ],
+)
+def test_formulas(a, b, want):
+    from solvegrid.functions import formula
+
+    assert formula.same(a, b) is want and formula.same(b, a) is want
+
+
+def test_judges_are_plug_ins(spark):
+    from solvegrid.functions import grading
+
+    def judge(prompts):
+        if "fail" in prompts:
+            raise OSError("no model")
+        return ['{"score": 1}' if "right" in p else "?" for p in prompts]
+
+    rows = spark.createDataFrame([("right",), ("wrong",), (None,)], "p string").coalesce(1)
+    got = [r.j for r in rows.select(grading.asked(judge)(F.col("p")).alias("j")).collect()]
+    assert [j and json.loads(j.parsed)["score"] for j in got] == [1, None, None]
+    bad = spark.createDataFrame([("fail",)], "p string").select(grading.asked(judge)(F.col("p")).alias("j")).first().j
+    assert bad.reply is None and "no model" in bad.error
