@@ -22,7 +22,7 @@ _TOKEN = re.compile(r"\s*(\d+(?:\.\d+)?|\.\d+|\\[A-Za-z]+|\\.|[A-Za-z]+|π|√|
 _GROUPED = re.compile(r"(?<![\d.])\d{1,3}(?:,\d{3})+(?![\d,])")
 _TEXT = re.compile(r"\\(?:text|textbf|mathrm|mathbf|operatorname|mbox)\s*\{([^{}]*)\}")
 #: Commands that say nothing about a value, commands for an operator, and functions.
-_SILENT = ("\\left", "\\right", "\\,", "\;", "\\:", "\\!", "\\ ", "\\quad", "\\qquad", "\\displaystyle", "\\$", "$", "\\%", "%", "\\degree")
+_SILENT = ("\\left", "\\right", "\\,", "\\;", "\\:", "\\!", "\\ ", "\\quad", "\\qquad", "\\displaystyle", "\\$", "$", "\\%", "%", "\\degree")
 _SIGNS = {"\\cdot": "*", "\\times": "*", "·": "*", "×": "*", "\\div": "/", "÷": "/", "−": "-", "\\{": "{set", "\\}": "set}", "\\lbrace": "{set", "\\rbrace": "set}", "\\dfrac": "\\frac", "\\tfrac": "\\frac", "√": "\\sqrt", "π": "\\pi", "∞": "\\infty", "**": "^"}
 _FUNCTIONS = {"sin": cmath.sin, "cos": cmath.cos, "tan": cmath.tan, "arcsin": cmath.asin, "arccos": cmath.acos, "arctan": cmath.atan, "ln": cmath.log, "log": cmath.log10, "exp": cmath.exp}
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
