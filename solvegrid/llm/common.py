@@ -7,8 +7,10 @@ run of bytes other than 0x20 and 0x09-0x0D, which is ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -218,7 +220,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_solvegrid_shipped", False):
         return
     root = Path(__file__).parents[1]
-    to = Path(tempfile.mkdtemp()) / "solvegrid.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / "solvegrid.zip"
     with zipfile.ZipFile(to, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -227,6 +231,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the queries. The session's Arrow batches get at most BATCH_ROWS rows from here on."""
     ship(spark)
     # texts are long: fewer rows a batch bound what a worker holds at once
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
