@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import router_tokens
 
@@ -52,9 +53,12 @@ def confusion(rows: DataFrame, gold: str, pred: str, labels: list) -> DataFrame:
     return full.withColumn("accuracy", F.round(F.try_divide(hit, F.sum("n").over(Window.partitionBy("gold"))), 9))
 
 
-def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(router_tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def terms(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """id, term, tf; hashed: terms as 64-bit hashes, which are cheaper to group by where the words themselves aren't needed."""
+    each = docs.select(F.col(id_col).alias("id"), F.explode(router_tokens(F.col(text_col))).alias("term"))
+    if hashed:
+        each = each.select("id", F.xxhash64("term").alias("term"))
+    return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf(pool: DataFrame) -> DataFrame:
@@ -70,7 +74,9 @@ QUERIES, POOL = 2048, 8192
 
 def vectors(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """id, terms: a vector of length 1 over the pool's vocabulary, as an array of (h, a hash of the term; w)."""
-    own = rows.join(weights.select("term", "idf"), "term").select("id", F.xxhash64("term").alias("h"), (F.col("tf") * F.col("idf")).alias("w"))
+    hashed = rows.schema["term"].dataType == T.LongType()
+    own = rows if hashed else rows.withColumn("term", F.xxhash64("term"))
+    own = own.join(weights.select(F.xxhash64("term").alias("term"), "idf"), "term").select("id", F.col("term").alias("h"), (F.col("tf") * F.col("idf")).alias("w"))
     whole = own.groupBy("id").agg(F.collect_list(F.struct("h", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return whole.select("id", F.transform("t", lambda x: F.struct(x["h"].alias("h"), F.when(F.col("norm") > 0, x["w"] / F.col("norm")).otherwise(x["w"]).alias("w"))).alias("terms"))
 
@@ -111,6 +117,7 @@ def retrieve(queries: DataFrame, pool: DataFrame, k: int, group: DataFrame | Non
     Their numbers follow from sizes, how many queries and pool rows there are at most; without, both
     are counted. Scores have six decimals; those that agree in nine are equal, and the smaller id comes
     first. Ids and groups are whole numbers; only rows that share a term with the query are found.
+    The queries' terms may be hashed, the pool's are words.
     """
     weights, grouped = idf(pool), group is not None
     p, q = vectors(pool, weights), vectors(queries, weights).withColumnRenamed("id", "query")

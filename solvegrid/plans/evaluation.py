@@ -536,7 +536,7 @@ def tfidf_idf(spark, sf):
 @query(f"WITH {_SCORES} SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY nine DESC, id) AS rank FROM s QUALIFY rank <= 3")
 def tfidf_topk(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    return scores.retrieve(scores.terms(d, "doc_id", "text"), scores.terms(b, "item_id", "text"), 3, sizes=(d.count(), b.count()))
+    return scores.retrieve(scores.terms(d, "doc_id", "text", hashed=True), scores.terms(b, "item_id", "text"), 3, sizes=(d.count(), b.count()))
 
 
 @query(f"""WITH {_SCORES}, g AS (SELECT *, id % 5 AS grp FROM s QUALIFY row_number() OVER (PARTITION BY query, id % 5 ORDER BY nine DESC, id) = 1)
@@ -544,7 +544,7 @@ def tfidf_topk(spark, sf):
 def retrieval_one_per_expert(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     experts = b.select(F.col("item_id").alias("id"), (F.col("item_id") % 5).alias("grp"))
-    return scores.retrieve(scores.terms(d, "doc_id", "text"), scores.terms(b, "item_id", "text"), 3, experts, sizes=(d.count(), b.count()))
+    return scores.retrieve(scores.terms(d, "doc_id", "text", hashed=True), scores.terms(b, "item_id", "text"), 3, experts, sizes=(d.count(), b.count()))
 
 
 # --- features -----------------------------------------------------------------------------
