@@ -35,6 +35,9 @@ MIN_WORDS = 20
 REPEAT_WORDS = 8
 SYMBOLS = b"#*$%&|<>"
 
+#: Bytes of text whose n-grams are worked on at once; there are several for each byte.
+CHUNK_BYTES = C.CHUNK_BYTES // 4
+
 _SYMBOL_BYTES = C.byte_set(SYMBOLS)
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -124,7 +127,7 @@ class Model:
 
 def _sparse(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, chunk in C.chunks(batch.column("text")):
+        for lo, hi, chunk in C.chunks(batch.column("text"), CHUNK_BYTES):
             words = chunk.tokens()
             h = words.hashes()
             rows = [[] for _ in range(chunk.n)]
@@ -269,7 +272,7 @@ def verdict(model: Model | None, spark, keep_at: float = KEEP_AT):
     @F.arrow_udf(_RESULT)
     def judge(texts: pa.Array) -> pa.Array:
         own, parts = shared.value, []
-        for _, _, chunk in C.chunks(texts):
+        for _, _, chunk in C.chunks(texts, CHUNK_BYTES):
             words = chunk.tokens()
             h = words.hashes()
             stats = base_stats(chunk, words, h)
